@@ -59,7 +59,7 @@ def grouped_rows(rows: DataFrame, components: DataFrame, min_words: int = 5) ->
     by_sentence = spoken.where((F.col("n_words") >= min_words) & F.col("own").isNotNull()).groupBy("sentence").agg(F.min("own").alias("via"))
     named = spoken.where("own IS NOT NULL").select("row_id", F.col("own").alias("group"))
     rest = spoken.where("own IS NULL").join(by_sentence, "sentence", "left").select(
-        "row_id", F.coalesce("via", F.concat(F.lit("t:"), F.hex("sentence")), F.concat(F.lit("r:"), F.col("row_id").cast("string"))).alias("group")
+        "row_id", F.coalesce("via", F.concat(F.lit("t:"), F.hex("sentence")), F.concat(F.lit("r:"), F.coalesce(F.col("row_id").cast("string"), F.lit("")))).alias("group")
     )
     return named.unionByName(rest)
 

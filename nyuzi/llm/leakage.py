@@ -7,7 +7,8 @@ overlapping bands of diagonals, and a region is kept when its count reaches what
 after the words that may change. Only there are the words aligned, inside the band.
 
 Defined results: null and empty texts hold nothing; items without words are never found; an item found twice in a document is
-one row; repeated documents are each reported; an empty table gives an empty result; other columns are never read.
+one row; repeated documents are each reported; a document without an id is
+reported with a null id, an item without one is ignored; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from nyuzi.llm.textnorm import sentence_words
 
@@ -66,7 +68,6 @@ class Items:
 
     def __init__(self, items: list[tuple[int, list[str]]], rule: Rule = Rule()):
         self.rule = rule
-        self.ids = np.array([i for i, _ in items], np.int64)
         self.words = [w for _, w in items]
         hashes, owner, place, need = [], [], [], []
         for k, words in enumerate(self.words):
@@ -150,30 +151,28 @@ def longest_run(item: list[str], text: list[str], rule: Rule = Rule()) -> int:
     return best
 
 
-def _find(rows: Iterator[pd.DataFrame], items: Items, key: str, text: str) -> Iterator[pd.DataFrame]:
-    rule = items.rule
-    for batch in rows:
-        found, docs = [], []
-        for doc, t in zip(batch[key], batch[text]):
-            words = document_words(t)
-            if not words:
-                continue
-            starts = None
-            hits: dict[int, list[tuple[int, int]]] = {}
-            for k, a, b in items.regions(codes(" ".join(words))):
-                hits.setdefault(k, []).append((a, b))
-            for k, spans in hits.items():
-                if starts is None:
-                    starts = np.cumsum([0] + [len(w) + 1 for w in words])
-                item = items.words[k]
-                slack = int(len(item) * rule.changed) + 2
-                for a, b in sorted(set(spans), key=lambda s: s[0] - s[1]):
-                    i = max(0, int(np.searchsorted(starts, a, "right")) - 1 - slack)
-                    j = min(len(words), int(np.searchsorted(starts, b + Q, "left")) + slack)
-                    if longest_run(item, words[i:j], rule) >= len(item) * rule.part:
-                        found.append(items.ids[k]), docs.append(doc)
-                        break
-        yield pd.DataFrame({"item_id": pd.Series(found, dtype="int64"), "doc_id": pd.Series(docs, dtype="int64")})
+def _leaks_of(text: str | None, items: Items) -> list[int]:
+    """The items that a document holds a run of."""
+    words = document_words(text)
+    if not words:
+        return []
+    hits: dict[int, set[tuple[int, int]]] = {}
+    for k, a, b in items.regions(codes(" ".join(words))):
+        hits.setdefault(k, set()).add((a, b))
+    if not hits:
+        return []
+    rule, found = items.rule, []
+    starts = np.cumsum([0] + [len(w) + 1 for w in words])
+    for k, spans in hits.items():
+        item = items.words[k]
+        slack = int(len(item) * rule.changed) + 2
+        for a, b in sorted(spans, key=lambda s: s[0] - s[1]):
+            i = max(0, int(np.searchsorted(starts, a, "right")) - 1 - slack)
+            j = min(len(words), int(np.searchsorted(starts, b + Q, "left")) + slack)
+            if longest_run(item, words[i:j], rule) >= len(item) * rule.part:
+                found.append(k)
+                break
+    return found
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), block: int = BLOCK_ITEMS) -> DataFrame:
@@ -181,6 +180,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), block: in
     spark = docs.sparkSession
     held = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     n = held.count()
+    id_type = to_arrow_type(items.schema["item_id"].dataType)
     blocks = max(1, -(-n // block))
     held = held.withColumn("_b", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     out = None
@@ -188,10 +188,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), block: in
         rows = held.where(F.col("_b") == b).select("item_id", "text").orderBy("item_id").collect()  # one block of checked size
         index = spark.sparkContext.broadcast([(r["item_id"], sentence_words(r["text"])) for r in rows])
 
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            yield from _find(batches, Items(index.value, rule), "doc_id", "text")
-
-        part = docs.select("doc_id", "text").mapInPandas(run, T.StructType([T.StructField("item_id", T.LongType()), T.StructField("doc_id", T.LongType())]))
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            block_items = Items(index.value, rule)
+            ids = pa.array([i for i, _ in index.value], id_type)
+            for b in batches:
+                hits = [(k, i) for i, t in enumerate(b.column(1).to_pylist()) for k in _leaks_of(t, block_items)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array([k for k, _ in hits], pa.int64())), b.column(0).take(pa.array([i for _, i in hits], pa.int64()))], names=["item_id", "doc_id"]
+                )
+
+        schema = T.StructType([T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("doc_id", docs.schema["doc_id"].dataType)])
+        part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -21,8 +21,7 @@ import math
 import os
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,14 +60,13 @@ def count_tokens(docs: DataFrame, carry: list[str], text: str = "text", path: st
     source = docs.select(*carry, text)
     schema = T.StructType([source.schema[c] for c in carry] + [T.StructField("tokens", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for b in batches:
-            out = b[carry].copy()
-            out["tokens"] = np.array([len(enc.encode_ordinary(t)) if t else 0 for t in b[text]], np.int64)
-            yield out
+            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(len(carry)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(n, pa.int64())], names=[*carry, "tokens"])
 
-    return source.mapInPandas(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def plan_shares(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float) -> dict[str, dict[str, float]]:

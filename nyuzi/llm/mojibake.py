@@ -111,7 +111,9 @@ def _forms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def garbled_table(clean: DataFrame) -> DataFrame:
     """``form, original, steps`` of every distinct clean word (column ``core``) under all chains, one row a form."""
-    forms = clean.mapInPandas(_forms_of, "form string, original string, steps int")
+    # a small table of words makes a large one of forms: spread before, by a fixed number that is not coalesced
+    parts = int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forms = clean.repartition(parts, "core").mapInPandas(_forms_of, "form string, original string, steps int")
     # a garbled form may look like a word itself ("fĂŞte"): it is no original then
     twice = clean.join(forms, clean["core"] == forms["form"], "left_semi").select(F.col("core").alias("original"))
     forms = forms.join(twice, "original", "left_anti")

@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,20 +29,22 @@ APOSTROPHES = "’‘‛ʼʻʽˈˊʹꞌꞋ′‵`´＇՚ʾʿ"
 HYPHENS = "‐‑⁃˗"
 CROSS_SCRIPT = CYRILLIC_AS_LATIN | GREEK_AS_LATIN
 
-_SPACES = "".join(chr(c) for c in (0x09, 0x0B, 0x0C, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
+_SPACES = "".join(chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x180F), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0]
 _TAG = re.compile(r"\[[^\[\]]*\]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏɐ-ʯḀ-ỿ]")
 _CROSS = str.maketrans({**CROSS_SCRIPT, **LATIN_AS_ASCII})
-_CROSS_KEYS = re.compile("[" + "".join(CROSS_SCRIPT) + "]")
 _OTHER_SCRIPT = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ]")
-_SPACE_MAP = str.maketrans({c: " " for c in _SPACES})
+_ASCII_DROP = re.compile(r"[^a-z0-9 \t\r\n\x0b\x0c]+")
+_DROP = regex.compile(r"[^\p{L}\p{M}\p{N} \t\r\n\x0b\x0c]+")
+# invisible characters and apostrophes go, spaces of any kind become blanks, Latin look-alikes become ASCII
+_FIRST = {c: None for c in _INVISIBLE} | {ord(c): None for c in APOSTROPHES} | {ord(c): " " for c in _SPACES} | {ord(c): a for c, a in LATIN_AS_ASCII.items()}
 
 
 def _unscript(word: str) -> str:
     """Cross-script look-alikes of one word in Latin, if the word has Latin letters or nothing but look-alikes."""
     if not _OTHER_SCRIPT.search(word):
-        return word.translate(_CROSS)
+        return word
     letters = [c for c in word if c.isalpha()]
     if _LATIN.search(word) or all(c in CROSS_SCRIPT for c in letters):
         return word.translate(_CROSS)
@@ -56,19 +59,16 @@ def sentence_words(text: str | None) -> list[str]:
     """
     if not text:
         return []
-    t = _TAG.sub(" ", text)
+    t = _TAG.sub(" ", text) if "[" in text else text
     if t.isascii():
-        t = t.lower()
-        return [w for w in (re.sub(r"[^a-z0-9]", "", x) for x in t.split()) if w]
-    t = _INVISIBLE.sub("", t).translate(_SPACE_MAP)
-    t = unicodedata.normalize("NFKC", t)
-    out = []
-    for word in re.split(r"[ \t\r\n]+", t):
-        w = unicodedata.normalize("NFC", _unscript(word).lower())
-        w = "".join(c for c in w if unicodedata.category(c)[0] in "LMN" and c not in APOSTROPHES)
-        if w:
-            out.append(w)
-    return out
+        return _ASCII_DROP.sub("", t.lower()).split()
+    t = _DROP.sub("", t.translate(_FIRST))
+    if not unicodedata.is_normalized("NFKC", t):
+        t = _DROP.sub("", unicodedata.normalize("NFKC", t))
+    if _OTHER_SCRIPT.search(t):
+        t = " ".join(map(_unscript, t.split()))
+    low = t.lower()
+    return (low if unicodedata.is_normalized("NFC", low) else unicodedata.normalize("NFC", low)).split()
 
 
 def sentence_key(text: str | None) -> str:

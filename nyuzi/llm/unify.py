@@ -5,7 +5,7 @@
 script inside Latin words. Whole words in Greek or Cyrillic, curly and angle double quotes, dashes and signs stay.
 
 Defined results: null gives null and counts as clean; an empty text stays empty; text already in that form is returned
-unchanged; every row is judged on its own, so ties and repeated rows are judged alike; only the key and text columns are
+unchanged; a word of nothing but look-alikes counts as Latin; every row is judged on its own, so ties and repeated rows are judged alike; only the key and text columns are
 read, so other columns cannot clash; an empty table gives an empty result.
 """
 
@@ -58,7 +58,8 @@ def _sql() -> str:
     cross = f"translate(w, {_quote(''.join(CROSS_SCRIPT))}, {_quote(''.join(CROSS_SCRIPT.values()))})"
     other = "[\\p{Greek}\\p{Cyrillic}]"
     # a run of letters, accents and apostrophes is a word; what lies between is kept as it is
-    word = f"CASE WHEN regexp_matches(w, '{other}') AND regexp_matches(w, '\\p{{Latin}}') THEN {cross} ELSE w END"
+    alike = f"regexp_full_match(w, '[{''.join(CROSS_SCRIPT)}\\p{{M}}'']+')"  # no letter tells such a word from a Latin one
+    word = f"CASE WHEN regexp_matches(w, '{other}') AND (regexp_matches(w, '\\p{{Latin}}') OR {alike}) THEN {cross} ELSE w END"
     mixed = f"array_to_string(list_transform(regexp_extract_all(u, '[\\p{{L}}\\p{{M}}'']+|[^\\p{{L}}\\p{{M}}'']+'), lambda w: {word}), '')"
     return (
         f"WITH a AS (SELECT i, t, {t} AS u FROM batch), "
