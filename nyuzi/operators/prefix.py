@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def buckets_for(rows: int, each: int = 100_000) -> int:
+    """A power of two of ranges that hold about ``each`` rows."""
+    return 1 << max(4, (max(1, rows) // each).bit_length())
+
+
 def running_sum(df: DataFrame, group: list[str], order: Column, amount: str, out: str, buckets: int = 4096) -> DataFrame:
     """``out``: the sum of ``amount`` over the rows before each row of its group, in the order of a hash of ``order``.
 

@@ -23,12 +23,21 @@ def dev_speakers(hist: DataFrame, share: float = DEV_SHARE, least: int = LEAST_S
     """``language, speaker, n, is_dev``: in the order of a seeded digest, speakers are dev while the rows before them are under
     ``share`` of the language's or they are among the first ``least``. Works on the histogram, never on rows.
 
-    A language with at most ``least`` speakers is all dev. Ties of the digest go to the speaker's name.
+    A language with at most ``least`` speakers is all dev. Ties of the digest go to the speaker's name. Sums and ranks are two-level,
+    by the digest's first three digits and within, so a language with very many speakers is spread over 4,096 tasks.
     """
-    order = Window.partitionBy("language").orderBy(F.md5(F.concat("speaker", F.lit(seed))), "speaker")
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy("language"))
-    return hist.select("language", "speaker", "n", ((before < F.lit(share) * total) | (F.row_number().over(order) <= least)).alias("is_dev"))
+    keyed = hist.withColumn("_d", F.md5(F.concat("speaker", F.lit(seed)))).withColumn("_r", F.substring("_d", 1, 3))
+    ranges = keyed.groupBy("language", "_r").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    earlier = Window.partitionBy("language").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        F.col("language").alias("_l"), F.col("_r").alias("_q"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_bn"), F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_bk"),
+        F.sum("_n").over(Window.partitionBy("language")).alias("_total"),
+    )
+    order = Window.partitionBy("language", "_r").orderBy("_d", "speaker")
+    within = keyed.withColumn("_wn", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_wk", F.row_number().over(order))
+    placed = within.join(ranges, F.col("language").eqNullSafe(F.col("_l")) & (F.col("_r") == F.col("_q")))
+    is_dev = (F.col("_bn") + F.col("_wn") < F.lit(share) * F.col("_total")) | (F.col("_bk") + F.col("_wk") <= least)
+    return placed.select("language", "speaker", "n", is_dev.alias("is_dev"))
 
 
 def split_summary(assigned: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, for a table that is written and read again."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python, unless they find it on their path already."""
+    root = Path(__file__).resolve().parents[1]
+    sc = spark.sparkContext
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known or (sc.master.startswith("local[") and Path.cwd().resolve() == root) or getattr(sc, "_nyuzi_shipped", False):
+        return
+    from pyspark import SparkFiles
+
+    target = Path(SparkFiles.getRootDirectory()) / "nyuzi.zip"  # Spark's own folder on the driver, from which executors fetch
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "nyuzi").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._nyuzi_shipped = True
