@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from nyuzi.llm.textnorm import sentence_key_udf
 from nyuzi.operators.components import connected_components
-from nyuzi.operators.prefix import running_sum
+from nyuzi.operators.prefix import buckets_for, running_sum
 from nyuzi.session import cut
 
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
@@ -83,7 +83,7 @@ def fill(sizes: DataFrame, have: dict[str, float], splits=SPLITS, large: float =
     rest = sizes.where(F.col("n") < max(1.0, large * new))
     lack = {s: max(0.0, v) for s, v in lack.items()}
     span, left = sum(lack.values()) or 1.0, float(rest.agg(F.sum("n")).first()[0] or 0)
-    lined = running_sum(rest, [], F.col("group"), "n", "_at") if left else rest.withColumn("_at", F.lit(0))
+    lined = running_sum(rest, [], F.col("group"), "n", "_at", buckets_for(rest.count())) if left else rest.withColumn("_at", F.lit(0))
     middle = F.col("_at") + F.col("n") / 2
     split, edge, bounds = F.lit(splits[-1][0]), 0.0, []
     for s, _ in splits:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nyuzi.operators.prefix import running_sum
+from nyuzi.operators.prefix import buckets_for, running_sum
 from nyuzi.session import cut
 
 #: Where the public tokenizer's ranks lie; every executor has the folder.
@@ -169,7 +169,7 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, slots: int =
     total = sum(v["drawn"] for v in plan.values())
     block = max(1.0, total / slots)
     by_source = spark.createDataFrame([(s, v["drawn"], v["size"], int(v["repeats"])) for s, v in plan.items() if v["drawn"] > 0], "source string, drawn double, size double, repeats int")
-    lined = running_sum(tokens.where("tokens > 0").join(F.broadcast(by_source), "source"), ["source"], F.col("doc_id"), "tokens", "at")
+    lined = running_sum(tokens.where("tokens > 0").join(F.broadcast(by_source), "source"), ["source"], F.col("doc_id"), "tokens", "at", buckets_for(tokens.count()))
     copies = F.least(F.ceil((F.col("drawn") - F.col("at")) / F.col("size")).cast("int"), F.col("repeats"))
     each = lined.where(F.col("at") < F.col("drawn")).select("doc_id", "source", "tokens", "at", "size", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
     at = F.col("at") + F.col("copy") * F.col("size")

@@ -6,7 +6,8 @@ same table at the grain of letters: the garbled forms of every distinct clean no
 the common European ones, at most as many as letters in Unicode, and a token is restored when the forms spell out its whole run of
 odd characters.
 
-Defined results: null and empty texts are never garbled; a text with U+FFFD is garbled and lost there for good;
+Defined results: null and empty texts are never garbled; a text with U+FFFD, or with question marks in place of
+letters inside its words, is garbled and lost there for good;
 a token with several originals keeps the original under the shortest chain, then the alphabetically first; repeated
 rows are judged alike; an empty table gives an empty result; other columns are untouched, whatever their names.
 """
@@ -79,6 +80,10 @@ def is_clean_word(word: str) -> bool:
 SPLIT = r"[ \t\r\n\x0b\x0c]+"
 #: ASCII punctuation at the ends of a token and, before it, characters nobody sees.
 EDGES = r"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$"
+#: Letters that an encoder replaced by question marks: such a mark goes on in lower case, or stands between capitals.
+LOST = r"�|\?+[\p{Ll}\p{M}]|\p{Lu}\?+\p{Lu}"
+#: Tokens in which a question mark belongs, such as addresses.
+ADDRESS = r"[/=&@]"
 _HIDDEN = "[​-‍⁠﻿]"
 
 
@@ -87,14 +92,19 @@ def _core(token):
     return F.regexp_replace(F.regexp_replace(token, _HIDDEN, ""), EDGES, "")
 
 
+def is_lost(token):
+    """Whether a token has letters that are lost for good."""
+    return token.contains("�") | (token.rlike(LOST) & ~token.rlike(ADDRESS))
+
+
 def odd_tokens(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Rows ``keys, token, core`` for each different token of a row that holds a non-ASCII character.
+    """Rows ``keys, token, core`` for each different token of a row that holds a non-ASCII character or lost letters.
 
     Only such tokens leave the scan; pure ASCII words, the bulk of the text, are dropped before any shuffle.
     """
-    tokens = F.array_distinct(F.filter(F.split(F.col(text), SPLIT), lambda t: t.rlike(r"[^\x00-\x7f]")))
+    tokens = F.array_distinct(F.filter(F.split(F.col(text), SPLIT), lambda t: t.rlike(r"[^\x00-\x7f]") | is_lost(t)))
     return (
-        texts.where(F.col(text).rlike(r"[^\x00-\x7f]"))
+        texts.where(F.col(text).rlike(r"[^\x00-\x7f]|" + LOST))
         .select(*keys, F.explode(tokens).alias("token"))
         .withColumn("core", _core(F.col("token")))
     )
@@ -181,8 +191,8 @@ def repair_table_of(distinct: DataFrame) -> DataFrame:
     distinct = cut(distinct.select("token", "core").withColumn("clean", is_clean("core")))
     clean = distinct.where("clean").select("core").distinct()
     words = garbled_table(clean)
-    lost = distinct.where(F.col("token").contains("�")).select("token", F.lit(None).cast("string").alias("original"), F.lit(True).alias("lost"))
-    rest = distinct.where(~F.col("token").contains("�"))
+    lost = distinct.where(is_lost(F.col("token"))).select("token", F.lit(None).cast("string").alias("original"), F.lit(True).alias("lost"))
+    rest = distinct.where(~is_lost(F.col("token")))
     joined = cut(rest.join(words, rest["core"] == words["form"], "left").select("token", "core", "original"))
     by_word = joined.where(F.col("original").isNotNull()).select(
         "token", F.expr(f"replace(regexp_replace(token, '{_HIDDEN}', ''), core, original)").alias("original"), F.lit(False).alias("lost")

@@ -35,6 +35,9 @@ def test_decoys_stay(spark):
 def test_lost_letters(spark):
     got = restored(spark, ["MÅ� kĩ", "��nyiga MÅ©", "ok"])
     assert got == {0: ("MÅ� kĩ", False), 1: ("��nyiga Mũ", False)}
+    marks = ["N?be m?ku ng?u.", "IL?OJI ?B", "In?ajir?? pan", "caf? M?n?"]
+    assert restored(spark, marks) == {i: (t, False) for i, t in enumerate(marks)}
+    assert restored(spark, ["Kiba? Made?", "what?And", "see https://a.b/c?d=e", "?", "“ku?” yo ??"]) == {}
 
 
 def test_white_space_punctuation_and_repeats(spark):
