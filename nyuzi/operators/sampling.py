@@ -44,6 +44,16 @@ def random_n(df: DataFrame, group: str, key: str, n: int, seed: str = "0") -> Da
     return first_n(df, group, [F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), F.col(key)], n)
 
 
+def shuffled(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
+    """``place``: each row's place in a seeded order of its group; two-level by the digest's first digits, so no group is one task."""
+    keyed = df.withColumn("_d", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))).withColumn("_r", F.substring("_d", 1, 3))
+    counts = keyed.groupBy(group, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col(group).alias("_g"), F.col("_r").alias("_q"), F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    within = keyed.withColumn("_w", F.row_number().over(Window.partitionBy(group, "_r").orderBy("_d", key)) - 1)
+    joined = within.join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("_q")), "left")
+    return joined.withColumn("place", F.col("_w") + F.col("_b")).drop("_d", "_r", "_w", "_g", "_q", "_b")
+
+
 def batches(df: DataFrame, group: str, order: str, size: int) -> DataFrame:
     """``batch_no``: consecutive batches of ``size`` rows of each group, the last one shorter."""
     return numbered(df, group, order, "_i").withColumn("batch_no", F.floor(F.col("_i") / size).cast("bigint")).drop("_i")

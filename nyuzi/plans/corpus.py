@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nyuzi.functions import audio, paths
 from nyuzi.functions import text as X
-from nyuzi.operators import mixing, sampling, split
+from nyuzi.operators import convert, mixing, sampling, split
 from nyuzi.session import scratch_path, table
 from nyuzi.sources import adapters, readers, sinks
 
@@ -378,17 +378,32 @@ def q35_partitioned_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q35 = "SELECT row_id, md5(text) AS text_md5, audio_size, language FROM omni_corpus WHERE text IS NOT NULL AND length(text) > 0 AND split = 'dev' AND language IN ('kik', 'luo')"
 
+def q38_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw clips converted to FLAC at 16 kHz, and what each file gave."""
+    clips = table(spark, sf_dir, "raw_clips").select("src_file", F.col("audio.bytes").alias("payload"))
+    return convert.unit_summary(convert.convert(clips, ["src_file"], "payload"), "src_file")
+
+
+def q39_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All utterances in a seeded order, by position."""
+    u = _utterances(spark, sf_dir).select("language", "utt_id")
+    return sampling.shuffled(u, "language", "utt_id", "7").groupBy("language").agg(F.count(F.lit(1)).alias("n_rows"), F.min_by("utt_id", "place").alias("first_utt"), F.max("place").alias("last_place"))
+
+
+Q39 = """SELECT language, count(*) AS n_rows, arg_min(utt_id, place) AS first_utt, max(place) AS last_place FROM (
+  SELECT language, utt_id, row_number() OVER (PARTITION BY language ORDER BY md5(utt_id::VARCHAR || '7'), utt_id) - 1 AS place FROM utterances) GROUP BY language"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         q01_hours_by_language, q02_largest_directories, q03_speaker_histogram, q04_split_summary, q05_dev_speakers, q06_routed_counts, q07_split_overlap, q08_reject_reasons, q09_pending,
         q10_manifest_match, q11_pooled_sources, q12_column_fallback, q13_double_encoding, q14_normalized_tokens, q15_tag_prevalence, q20_stride_sample, q21_examples, q22_mixture_weights,
-        q25_chunk_plan, q26_ordered_regroup, q27_batches, q27_running_hours, q28_budget_batches, q29_paths, q31_payload_kinds, q31_headers, q31_flac_hours, q35_partitioned_round_trip,
+        q25_chunk_plan, q26_ordered_regroup, q27_batches, q27_running_hours, q28_budget_batches, q29_paths, q31_payload_kinds, q31_headers, q31_flac_hours, q35_partitioned_round_trip, q38_convert, q39_shuffled,
     )
 }
 ORACLES = {
     "q01_hours_by_language": Q01, "q02_largest_directories": Q02, "q03_speaker_histogram": _HIST, "q04_split_summary": Q04, "q05_dev_speakers": Q05, "q06_routed_counts": Q06,
     "q07_split_overlap": Q07, "q08_reject_reasons": Q08, "q09_pending": Q09, "q10_manifest_match": Q10, "q11_pooled_sources": Q11, "q12_column_fallback": Q12, "q13_double_encoding": Q13,
     "q14_normalized_tokens": Q14, "q15_tag_prevalence": Q15, "q20_stride_sample": Q20, "q21_examples": Q21, "q22_mixture_weights": Q22, "q25_chunk_plan": Q25, "q26_ordered_regroup": Q26,
-    "q27_batches": Q27, "q27_running_hours": Q27B, "q28_budget_batches": Q28, "q29_paths": Q29, "q31_payload_kinds": Q31, "q31_flac_hours": Q31C, "q35_partitioned_round_trip": Q35,
+    "q27_batches": Q27, "q27_running_hours": Q27B, "q28_budget_batches": Q28, "q29_paths": Q29, "q31_payload_kinds": Q31, "q31_flac_hours": Q31C, "q35_partitioned_round_trip": Q35, "q39_shuffled": Q39,
 }

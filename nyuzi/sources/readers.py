@@ -124,3 +124,8 @@ def unmatched(records: DataFrame, members: DataFrame, path: str = "audio_filepat
 def pending(everything: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is not done yet."""
     return everything.join(done.select(key).distinct(), key, "left_anti")
+
+
+def states(spark: SparkSession, path: str) -> DataFrame:
+    """Model states as :func:`nyuzi.sources.sinks.states` writes them."""
+    return spark.read.option("basePath", path).parquet(path)

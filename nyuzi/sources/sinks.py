@@ -49,3 +49,21 @@ def resume_submission(df: DataFrame, path: str, exists: bool) -> int:
         submission(new, path)
     new.unpersist()
     return n
+
+
+def states(df: DataFrame, path: str) -> None:
+    """Model states ``ckpt, key, is_float, values`` as one Parquet table, by checkpoint."""
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy("ckpt").parquet(path)
+
+
+def card(path: str, name: str, family: str, root: str, tokenizer: str) -> None:
+    """A small YAML descriptor of a dataset for a trainer."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"name: {name}\ndataset_family: {family}\ndataset_config:\n  data: {root}\ntokenizer_ref: {tokenizer}\n")
+
+
+def report(df: DataFrame, digits: int = 4) -> list[str]:
+    """Lines of a small grouped result, numbers with a fixed count of digits; for people, so at most a thousand rows."""
+    kinds = dict(df.dtypes)
+    shown = df.select(*[F.format_number(c, digits).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("string").alias(c) for c in df.columns])
+    return ["\t".join(df.columns)] + ["\t".join("-" if v is None else v for v in r) for r in shown.limit(1000).collect()]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from helpers import wav as make
 
-from nyuzi.functions import audio, wav
+from nyuzi.functions import audio, flac, wav
+from nyuzi.operators import convert
 
 
 def test_header_variants():
@@ -82,3 +83,27 @@ def test_transcribe_loses_no_row(spark):
     df = spark.createDataFrame([(1, make([0, 5] * 40)), (2, b"junk"), (3, None)], "id int, audio binary")
     out = audio.transcribe(df, ["id"], "audio", lambda chunks: ["  heard  it " for _ in chunks])
     assert {r["id"]: r["transcription"] for r in out.collect()} == {1: "heard it", 2: ".", 3: "."}
+
+
+def test_flac_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 4095, 4096, 4097, 20_000, 4096 * 300 + 5):
+        x = rng.integers(-32768, 32768, n).astype(np.int16)
+        raw = flac.encode(x, 16000)
+        assert wav.flac_info(raw) == (16000, n)
+        rate, y = flac.decode(raw)
+        assert rate == 16000 and (x == y).all()
+    assert flac.crc8(b"123456789") == 0xF4 and flac.crc16(b"123456789") == 0xFEE8
+
+
+def test_convert_loses_no_row(spark):
+    rows = [("a", make([0, 100] * 50)), ("a", base64.b64encode(make([5] * 8))), ("a", b"junk"), ("b", None), ("b", b"")]
+    df = spark.createDataFrame(rows, "unit string, payload binary")
+    out = convert.convert(df, ["unit"], "payload").cache()
+    got = sorted((r["unit"], r["n_samples"] or 0, r["error"] or "") for r in out.collect())
+    assert got == [("a", 0, "unreadable"), ("a", 256, ""), ("a", 3200, ""), ("b", 0, "empty"), ("b", 0, "empty")]
+    audio_of = next(bytes(r["audio_flac"]) for r in out.collect() if r["n_samples"] == 3200)
+    assert flac.decode(audio_of)[0] == 16000
+    assert sorted(tuple(r)[:4] for r in convert.unit_summary(out, "unit").collect()) == [("a", 3, 2, 1), ("b", 2, 0, 2)]
+    other = convert.convert(df, ["unit"], "payload", decode=lambda b: 1 / 0).collect()
+    assert {r["error"] for r in other} == {"ZeroDivisionError", "empty"}

@@ -1,3 +1,5 @@
+import unicodedata
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -25,20 +27,26 @@ def test_goldens(spark):
     assert one(spark, "", X.words) == []
 
 
-def python_clean(t):
-    import re
-    import unicodedata
-
-    t = t.replace("â€™", "'")
-    for base, upper, lower in (("Å", "Ũ", "ũ"), ("Ä", "Ĩ", "ĩ")):
-        out, at = "", 0
-        for m in re.finditer(base + r"\s*⁇\s*", t):
-            out += t[at : m.start()]
-            before = t[: m.start()]
-            out += upper if m.start() == 0 or re.search(r"[.!?]\s*$", before) else lower
-            at = m.end()
-        t = out + t[at:]
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t.replace("⁇", ""))).strip()
+def python_clean(text):
+    """The rule letter by letter: a base letter, blanks and an unknown token, with the blanks after it, are one letter."""
+    t = text.replace("â€™", "'")
+    for base, capital, small in (("Å", "Ũ", "ũ"), ("Ä", "Ĩ", "ĩ")):
+        done, i = [], 0
+        while i < len(t):
+            j = i + 1
+            while j < len(t) and t[j].isspace():
+                j += 1
+            if t[i] == base and j < len(t) and t[j] == X.UNKNOWN:
+                begins = i == 0 or t[:i].rstrip()[-1:] in (".", "!", "?")
+                done.append(capital if begins else small)
+                i = j + 1
+                while i < len(t) and t[i].isspace():
+                    i += 1
+            else:
+                done.append(t[i])
+                i += 1
+        t = "".join(done)
+    return " ".join(unicodedata.normalize("NFKC", t.replace(X.UNKNOWN, "")).split())
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
