@@ -53,13 +53,13 @@ def tied_speakers(rows: DataFrame, min_words: int = 5) -> DataFrame:
 
 
 def grouped_rows(rows: DataFrame, components: DataFrame, min_words: int = 5) -> DataFrame:
-    """``row_id, group``: a row's component, else its speaker, else its sentence's group, else the sentence, else itself."""
+    """``row_id, sentence, n_words, group``: a row's component, else its speaker, else its sentence's group, else the sentence, else itself."""
     comp = components.select(F.col("node").alias("speaker"), "root")
     spoken = rows.join(comp, "speaker", "left").withColumn("own", F.when(F.col("speaker").isNotNull(), F.concat(F.lit("s:"), F.coalesce("root", "speaker"))))
     by_sentence = spoken.where((F.col("n_words") >= min_words) & F.col("own").isNotNull()).groupBy("sentence").agg(F.min("own").alias("via"))
-    named = spoken.where("own IS NOT NULL").select("row_id", F.col("own").alias("group"))
+    named = spoken.where("own IS NOT NULL").select("row_id", "sentence", "n_words", F.col("own").alias("group"))
     rest = spoken.where("own IS NULL").join(by_sentence, "sentence", "left").select(
-        "row_id", F.coalesce("via", F.concat(F.lit("t:"), F.hex("sentence")), F.concat(F.lit("r:"), F.coalesce(F.col("row_id").cast("string"), F.lit("")))).alias("group")
+        "row_id", "sentence", "n_words", F.coalesce("via", F.concat(F.lit("t:"), F.hex("sentence")), F.concat(F.lit("r:"), F.coalesce(F.col("row_id").cast("string"), F.lit("")))).alias("group")
     )
     return named.unionByName(rest)
 
@@ -114,7 +114,11 @@ def assign_splits(rows: DataFrame, prior: DataFrame | None = None, splits=SPLITS
     sizes = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     if prior is not None:
         root = prior.join(comps.withColumnRenamed("node", "speaker").withColumnRenamed("root", "now"), "speaker", "left")
-        held = root.select(_group_of(F.coalesce("now", "root")).alias("group"), "split").groupBy("group").agg(F.min("split").alias("low"), F.max("split").alias("high"))
+        # a sentence that nobody had said may have a speaker now: its split counts for that speaker's group
+        heard = placed.where((F.col("n_words") >= min_words) & F.col("group").startswith("s:")).groupBy("sentence").agg(F.min("group").alias("group"))
+        once = prior.where(F.col("speaker").startswith("t:")).select(F.unhex(F.substring("speaker", 3, 32)).alias("sentence"), "split")
+        met = heard.join(once, "sentence").select("group", "split")
+        held = root.select(_group_of(F.coalesce("now", "root")).alias("group"), "split").unionByName(met).groupBy("group").agg(F.min("split").alias("low"), F.max("split").alias("high"))
         old = cut(sizes.join(held, "group").select("group", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("quarantine").alias("split")))
         have = {r["split"]: float(r["n"]) for r in old.groupBy("split").agg(F.sum("n").alias("n")).collect() if r["split"] != "quarantine"}
         chosen = old.select("group", "split").unionByName(fill(sizes.join(held, "group", "left_anti"), have, splits))

@@ -14,7 +14,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -42,6 +44,8 @@ def _single_forms() -> dict[str, str]:
     return out | {c: "'" for c in APOSTROPHES} | {c: "-" for c in HYPHENS} | LATIN_AS_ASCII
 
 
+#: Bytes of text given to one statement, so that long texts do not meet in one vector.
+SLICE_BYTES = 4 << 20
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
@@ -79,21 +83,25 @@ def unify(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB"})
+        con.execute("SET preserve_insertion_order = true")
         for b in batches:
             n = b.num_rows
-            texts = b.column(b.schema.get_field_index(text))
-            plain = pa.compute.string_is_ascii(texts).fill_null(True)
-            odd = pa.compute.indices_nonzero(pa.compute.invert(plain))
+            texts = b.column(b.schema.get_field_index(text)).cast(pa.string())
+            plain = pc.fill_null(pc.string_is_ascii(texts), True)
+            odd = pc.indices_nonzero(pc.invert(plain)).cast(pa.int64())
             clean, changed = texts, pa.array([False] * n)
             if len(odd):
-                batch = pa.table({"i": odd.cast(pa.int64()), "t": texts.take(odd)})
-                con.register("batch", batch)
-                got = con.sql(SQL).to_arrow_table()
-                con.unregister("batch")
-                mask = pa.compute.invert(plain)
-                clean = pa.compute.replace_with_mask(texts.cast(pa.string()), mask, got["u"].combine_chunks().cast(pa.string()))
-                changed = pa.compute.replace_with_mask(changed, mask, got["changed"].combine_chunks())
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keys), clean.cast(pa.string()), changed], names=[*keys, "clean_text", "changed"])
+                size = np.cumsum(pc.binary_length(texts.take(odd)).to_numpy(zero_copy_only=False))
+                parts = []
+                for part in np.split(np.arange(len(odd)), np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1):
+                    at = odd.take(pa.array(part))
+                    con.register("batch", pa.table({"i": at, "t": texts.take(at)}))
+                    parts.append(con.sql(SQL).to_arrow_table())
+                    con.unregister("batch")
+                got, mask = pa.concat_tables(parts).combine_chunks(), pc.invert(plain)
+                clean = pc.replace_with_mask(texts, mask, pa.concat_arrays(got["u"].chunks).cast(pa.string()))
+                changed = pc.replace_with_mask(changed, mask, pa.concat_arrays(got["changed"].chunks))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keys), clean, changed], names=[*keys, "clean_text", "changed"])
 
     return source.mapInArrow(run, schema)

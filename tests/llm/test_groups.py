@@ -83,6 +83,19 @@ def test_later_deliveries_keep_splits_and_quarantine_conflicts(spark):
     assert set(was) <= set(now) and now["s150"] == was["s150"]
 
 
+def test_a_sentence_that_gets_a_speaker_later(spark):
+    unsaid = [(None, f"{i:032d}", 6) for i in range(60)]
+    data = lambda rows: spark.createDataFrame([(i, s, bytes.fromhex(k), n) for i, (s, k, n) in enumerate(rows)], "row_id long, speaker string, sentence binary, n_words int")
+    placed, table = G.assign_splits(data(unsaid))
+    table = table.cache()
+    was = {r["row_id"]: r["split"] for r in placed.collect()}
+    a, b = next(i for i in was if was[i] == "train"), next(i for i in was if was[i] != "train")
+    later = unsaid + [("one", unsaid[a][1], 6), ("two", unsaid[a][1], 6), ("both", unsaid[b][1], 6), ("both", unsaid[a][1], 6)]
+    now = {r["row_id"]: r["split"] for r in G.assign_splits(data(later), table)[0].collect()}
+    assert now[60] == now[61] == now[62] == now[63] == now[a] == now[b] == "quarantine"
+    assert all(now[i] == was[i] for i in was if i not in (a, b))
+
+
 def test_speakers_and_sentences_as_compared(spark):
     records = spark.createDataFrame([(1, 10, "Moja mbili, tatu nne [um] tano!"), (2, 20, "moja  mbili tatu nne tano"), (3, 30, None), (4, None, "x"), (5, 10, "")], "row_id long, clip_id long, text string")
     utterances = spark.createDataFrame([(10, " KIK-1 "), (20, "kik-2"), (10, "kik-1"), (30, " "), (None, "z")], "clip_id long, speaker_id string")
