@@ -11,6 +11,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Settings that suit large clusters; pass them to the session's builder, with partition counts of your own.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder (a file or a folder of parts)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
