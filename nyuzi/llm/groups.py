@@ -2,8 +2,8 @@
 
 Speakers who share a sentence are tied; components of tied speakers come from pointer jumping
 (:func:`nyuzi.operators.components.connected_components`) over star links, one link per speaker and sentence, never all pairs.
-The component table is persisted: on the next delivery its rows enter as links, so a component keeps its split, new
-components fill what the splits lack, and a component that joins members of different splits is quarantined.
+The component table of speakers and sentences is persisted: on the next delivery its rows enter as links, so a component keeps its
+split, new components fill what the splits lack, and a component that joins members of different splits is quarantined.
 
 Defined results: null and blank speakers tie nobody, their rows follow their sentence; sentences under ``min_words`` words tie
 nobody (nearly everybody says "yes"); rows without speaker and sentence stand alone; ties in size go to the lower hash; repeated
@@ -52,18 +52,6 @@ def tied_speakers(rows: DataFrame, min_words: int = 5) -> DataFrame:
     return connected_components(speaker_links(rows, min_words)).select(F.col("node").alias("speaker_id"), F.col("root").alias("group_id"))
 
 
-def grouped_rows(rows: DataFrame, components: DataFrame, min_words: int = 5) -> DataFrame:
-    """``row_id, sentence, n_words, group``: a row's component, else its speaker, else its sentence's group, else the sentence, else itself."""
-    comp = components.select(F.col("node").alias("speaker"), "root")
-    spoken = rows.join(comp, "speaker", "left").withColumn("own", F.when(F.col("speaker").isNotNull(), F.concat(F.lit("s:"), F.coalesce("root", "speaker"))))
-    by_sentence = spoken.where((F.col("n_words") >= min_words) & F.col("own").isNotNull()).groupBy("sentence").agg(F.min("own").alias("via"))
-    named = spoken.where("own IS NOT NULL").select("row_id", "sentence", "n_words", F.col("own").alias("group"))
-    rest = spoken.where("own IS NULL").join(by_sentence, "sentence", "left").select(
-        "row_id", "sentence", "n_words", F.coalesce("via", F.concat(F.lit("t:"), F.hex("sentence")), F.concat(F.lit("r:"), F.coalesce(F.col("row_id").cast("string"), F.lit("")))).alias("group")
-    )
-    return named.unionByName(rest)
-
-
 def fill(sizes: DataFrame, have: dict[str, float], splits=SPLITS, large: float = 0.01) -> DataFrame:
     """``group, split`` for new groups ``group, n``: they fill what each split lacks of its share of all rows.
 
@@ -95,44 +83,52 @@ def fill(sizes: DataFrame, have: dict[str, float], splits=SPLITS, large: float =
     return out.unionByName(spark.createDataFrame(placed, "group string, split string")) if placed else out
 
 
-def _group_of(root):
-    """The group of a persisted root: sentences without a speaker are kept under their group's own name."""
-    return F.when(root.startswith("t:"), root).otherwise(F.concat(F.lit("s:"), root))
+def _node(prefix: str, col) -> F.Column:
+    return F.concat(F.lit(prefix), col)
 
 
 def assign_splits(rows: DataFrame, prior: DataFrame | None = None, splits=SPLITS, min_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """Places every row; returns ``row_id, group, split`` and the component table to persist.
 
-    ``prior`` is the table this returned last time: ``speaker, root, split``. A group whose members held different
-    splits gets the split ``quarantine`` until somebody decides.
+    ``prior`` is the table this returned last time: ``node, root, split``, a node being a speaker (``s:``) or a sentence (``t:``). It
+    stands for all earlier deliveries, whose rows need not be here. A row belongs to its speaker's group, else to its sentence's, else
+    it stands alone. A group whose members held different splits gets the split ``quarantine`` until somebody decides.
     """
-    links = speaker_links(rows, min_words)
-    if prior is not None:
-        links = links.unionByName(prior.select(F.col("speaker").alias("a"), F.col("root").alias("b")))
-    comps = connected_components(links)
-    placed = cut(grouped_rows(rows, comps, min_words))
+    spark = rows.sparkSession
+    long = F.col("n_words") >= min_words
+    rows = rows.select("row_id", _node("s:", F.col("speaker")).alias("s"), _node("t:", F.hex("sentence")).alias("t"), long.alias("long"))
+    if prior is None:
+        prior = spark.createDataFrame([], "node string, root string, split string")
+    said = rows.where("long AND s IS NOT NULL AND t IS NOT NULL").select("s", "t").distinct()
+    stars = said.groupBy("t").agg(F.min("s").alias("first"))
+    links = said.join(stars, "t").where("s <> first").select(F.col("s").alias("a"), F.col("first").alias("b"))
+    links = links.unionByName(prior.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a LIKE 's:%'"))
+    links = links.unionByName(said.join(prior.select(F.col("node").alias("t"), "root"), "t").select(F.col("s").alias("a"), F.col("root").alias("b")))
+    comps = connected_components(links).withColumnRenamed("root", "now")
+
+    def now(df: DataFrame, node: str) -> DataFrame:
+        """``now``: the group that a node is in after all links."""
+        return df.join(comps.withColumnRenamed("node", node), node, "left").withColumn("now", F.coalesce("now", node))
+
+    # sentences: with a speaker here they are in that speaker's group, else where they were, else groups of their own
+    before = now(prior.where("node LIKE 't:%'").select(F.col("node").alias("t"), F.col("root").alias("r")), "r").select("t", F.col("now").alias("was"))
+    heard = now(stars.select("t", F.col("first").alias("r")), "r").select("t", F.col("now").alias("via"))
+    sentences = cut(heard.join(before, "t", "full").select("t", F.coalesce("via", "was").alias("of")))
+    named = now(rows.where("s IS NOT NULL").select("row_id", "s"), "s").select("row_id", F.col("now").alias("group"))
+    silent = rows.where("s IS NULL").join(sentences, "t", "left")
+    alone = _node("r:", F.coalesce(F.col("row_id").cast("string"), F.lit("")))
+    placed = cut(named.unionByName(silent.select("row_id", F.coalesce("of", "t", alone).alias("group"))))
+
     sizes = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    if prior is not None:
-        root = prior.join(comps.withColumnRenamed("node", "speaker").withColumnRenamed("root", "now"), "speaker", "left")
-        # a sentence that nobody had said may have a speaker now: its split counts for that speaker's group
-        heard = placed.where((F.col("n_words") >= min_words) & F.col("group").startswith("s:")).groupBy("sentence").agg(F.min("group").alias("group"))
-        once = prior.where(F.col("speaker").startswith("t:")).select(F.unhex(F.substring("speaker", 3, 32)).alias("sentence"), "split")
-        met = heard.join(once, "sentence").select("group", "split")
-        held = root.select(_group_of(F.coalesce("now", "root")).alias("group"), "split").unionByName(met).groupBy("group").agg(F.min("split").alias("low"), F.max("split").alias("high"))
-        old = cut(sizes.join(held, "group").select("group", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("quarantine").alias("split")))
-        have = {r["split"]: float(r["n"]) for r in old.groupBy("split").agg(F.sum("n").alias("n")).collect() if r["split"] != "quarantine"}
-        chosen = old.select("group", "split").unionByName(fill(sizes.join(held, "group", "left_anti"), have, splits))
-    else:
-        chosen = fill(sizes, {}, splits)
-    chosen = cut(chosen)
-    out = placed.join(chosen, "group")
-    speakers = rows.where("speaker IS NOT NULL").select("speaker").distinct()
-    table = speakers.join(comps.withColumnRenamed("node", "speaker"), "speaker", "left").select("speaker", F.coalesce("root", "speaker").alias("root"))
-    table = table.withColumn("group", F.concat(F.lit("s:"), F.col("root"))).join(chosen, "group").select("speaker", "root", "split")
-    alone = chosen.where(F.col("group").startswith("t:")).select(F.col("group").alias("speaker"), F.col("group").alias("root"), "split")
-    if prior is not None:
-        alone = alone.unionByName(prior.where(F.col("speaker").startswith("t:")).join(alone, "speaker", "left_anti").select("speaker", "root", "split"))
-        gone = prior.where(~F.col("speaker").startswith("t:")).join(speakers, "speaker", "left_anti").join(comps.select(F.col("node").alias("speaker"), F.col("root").alias("now")), "speaker", "left")
-        gone = gone.withColumn("group", F.concat(F.lit("s:"), F.coalesce("now", "root"))).join(chosen.withColumnRenamed("split", "then"), "group", "left")
-        table = table.unionByName(gone.select("speaker", F.coalesce("now", "root").alias("root"), F.coalesce("then", "split").alias("split")))
-    return out.select("row_id", "group", "split"), table.unionByName(alone)
+    kept = now(prior.select(F.col("root").alias("r"), "split").distinct(), "r").groupBy(F.col("now").alias("group")).agg(F.min("split").alias("low"), F.max("split").alias("high"))
+    kept = cut(kept.select("group", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("quarantine").alias("split")))
+    held = sizes.join(kept, "group").groupBy("split").agg(F.sum("n").alias("n")).collect()  # a row a split
+    new = fill(sizes.join(kept, "group", "left_anti"), {r["split"]: float(r["n"]) for r in held if r["split"] != "quarantine"}, splits)
+    chosen = cut(kept.unionByName(new))
+
+    speakers = now(rows.where("s IS NOT NULL").select(F.col("s").alias("node")).union(prior.where("node LIKE 's:%'").select("node")).distinct(), "node").select("node", F.col("now").alias("root"))
+    unsaid = placed.where("`group` LIKE 't:%'").select(F.col("group").alias("node"), F.col("group").alias("root")).distinct()
+    known = sentences.select(F.col("t").alias("node"), F.col("of").alias("root"))
+    table = speakers.unionByName(known).unionByName(unsaid.join(known, "node", "left_anti"))
+    table = table.join(chosen.withColumnRenamed("group", "root"), "root").select("node", "root", "split")
+    return placed.join(chosen, "group").select("row_id", "group", "split"), table

@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nyuzi.session import cut
+
 #: Single-byte encodings that UTF-8 bytes are wrongly read in.
 WRONG_ENCODINGS = ("cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1250", "iso8859-2", "cp1254", "iso8859-15")
 #: Two wrong readings after each other: those of one family of machines.
 TWICE = ("cp1252", "latin-1", "mac_roman", "cp850", "cp1250")
 #: Signs that clean texts may hold whether or not this corpus does.
-CLEAN_SIGNS = "‘’“”„«»‹›–—…©®°€£§±•·™ "
+CLEAN_SIGNS = "‘’“”„«»‹›–—…©®°€£§±•·™\u00a0"
 #: Letters of Western and Central Europe (Latin-1 and Extended-A): loan words and names bring them in, often in garbled form only.
 COMMON_LETTERS = "".join(chr(c) for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7))
 #: Most letters that are sent to the executors; Unicode has fewer than 150,000 letters and signs.
@@ -184,8 +186,6 @@ def repair_table(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def repair_table_of(distinct: DataFrame) -> DataFrame:
     """As :func:`repair_table`, from a table of distinct ``token, core``."""
-    from nyuzi.session import cut
-
     spark = distinct.sparkSession
     is_clean = F.pandas_udf(lambda s: s.map(is_clean_word), T.BooleanType())
     distinct = cut(distinct.select("token", "core").withColumn("clean", is_clean("core")))
@@ -216,8 +216,6 @@ def repair_table_of(distinct: DataFrame) -> DataFrame:
 
 def find_garbled(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys, n_garbled, lost`` for each row whose text holds garbled letters."""
-    from nyuzi.session import cut
-
     tokens = odd_tokens(texts, keys, text)
     repairs = cut(repair_table(texts, text))
     hit = tokens.join(repairs.select("token", "lost"), "token")
@@ -226,8 +224,6 @@ def find_garbled(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 def restore(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys, restored, fully`` for each garbled row: the text with what can be restored, white space untouched."""
-    from nyuzi.session import cut
-
     tokens = odd_tokens(texts, keys, text)
     repairs = cut(repair_table(texts, text))
     hit = tokens.join(repairs, "token").groupBy(*keys).agg(

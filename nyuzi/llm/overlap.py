@@ -115,7 +115,7 @@ def cross_split_pairs(rows: DataFrame, key_id: str, text: str, split: str, min_w
     """``id_a, id_b`` (smaller first) of every train row and held-out row with the same or nearly the same sentence."""
     sents = cut(sentences(rows, key_id, text, split, min_words))
     links = near_links(sents).select("kid_a", "kid_b")
-    same = sents.groupBy("kid").agg(F.bit_or("side").alias("sides")).where(F.col("sides") == TRAIN | HELD_OUT).select(F.col("kid").alias("kid_a"), F.col("kid").alias("kid_b"))
+    same = sents.groupBy("kid").agg(F.bit_or("side").alias("sides")).where(F.col("sides") == (TRAIN | HELD_OUT)).select(F.col("kid").alias("kid_a"), F.col("kid").alias("kid_b"))
     train = sents.where(F.col("side") == TRAIN).select(F.col("kid").alias("kid_a"), F.col(key_id).alias("t"))
     held = sents.where(F.col("side") == HELD_OUT).select(F.col("kid").alias("kid_b"), F.col(key_id).alias("h"))
     pairs = links.unionByName(same).join(train, "kid_a").join(held, "kid_b").where("t <> h")
@@ -129,7 +129,7 @@ def overlap_report(rows: DataFrame, key_id: str, text: str, split: str, source:
     """
     sents = cut(sentences(rows, key_id, text, split, min_words, (source,)))
     near = near_links(sents).select(F.col("kid_b").alias("kid")).distinct().withColumn("near", F.lit(1))
-    same = sents.groupBy("kid").agg(F.bit_or("side").alias("sides")).where(F.col("sides") == TRAIN | HELD_OUT).select("kid", F.lit(1).alias("same"))
+    same = sents.groupBy("kid").agg(F.bit_or("side").alias("sides")).where(F.col("sides") == (TRAIN | HELD_OUT)).select("kid", F.lit(1).alias("same"))
     held = sents.where(F.col("side") == HELD_OUT).groupBy("kid", "split", source).agg(F.count(F.lit(1)).alias("n"))
     met = held.join(same, "kid", "left").join(near, "kid", "left")
     amount = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("bigint")

@@ -67,7 +67,7 @@ def test_later_deliveries_keep_splits_and_quarantine_conflicts(spark):
     first = [(f"s{i:03}", f"own{i}", 6) for i in range(200)]
     placed, table = G.assign_splits(rows_of(spark, first))
     table = table.cache()
-    was = {r["speaker"]: r["split"] for r in table.collect()}
+    was = {r["node"][2:]: r["split"] for r in table.collect() if r["node"].startswith("s:")}
     train = next(s for s in sorted(was) if was[s] == "train")
     test = next(s for s in sorted(was) if was[s] == "test")
     later = [(f"s{i:03}", f"own{i}", 6) for i in range(100)] + [("new1", "n1", 6), (train, "bridge", 6), (test, "bridge", 6), ("new2", "own0", 6)]
@@ -79,10 +79,29 @@ def test_later_deliveries_keep_splits_and_quarantine_conflicts(spark):
         elif s in was:
             assert side[i] == was[s]
     assert side[103] == side[0]
-    now = {r["speaker"]: r["split"] for r in table2.collect()}
+    now = {r["node"][2:]: r["split"] for r in table2.collect()}
     assert set(was) <= set(now) and now["s150"] == was["s150"]
 
 
+def test_a_later_delivery_alone_is_tied_through_persisted_sentences(spark):
+    first = [(f"s{i:03}", f"own{i}", 6) for i in range(100)] + [("s000", "hello", 2)]
+    _, table = G.assign_splits(rows_of(spark, first))
+    table = table.cache()
+    was = {r["node"]: r["split"] for r in table.collect()}
+    a = next(i for i in range(100) if was[f"s:s{i:03}"] == "train")
+    b = next(i for i in range(100) if was[f"s:s{i:03}"] == "test")
+    c = next(i for i in range(a + 1, 100) if was[f"s:s{i:03}"] == "train")
+    later = [("new", f"own{a}", 6), (None, f"own{a}", 6), ("bad", f"own{b}", 6), ("bad", f"own{c}", 6), ("free", "hello", 2)]
+    placed, table2 = G.assign_splits(rows_of(spark, later), table)
+    got = {r["row_id"]: (r["group"], r["split"]) for r in placed.collect()}
+    assert got[0] == got[1] == (min("s:new", f"s:s{a:03}"), "train")
+    assert got[2][1] == got[3][1] == "quarantine" and got[4][0] == "s:free"
+    now = {r["node"]: r["split"] for r in table2.collect()}
+    assert now[f"s:s{b:03}"] == now[f"s:s{c:03}"] == now["s:bad"] == "quarantine" and now["s:new"] == "train"
+    assert all(now[n] == was[n] for n in was if n not in (f"s:s{b:03}", f"s:s{c:03}") and not n.startswith("t:"))
+    assert len(table2.collect()) == len(now)
+
+
 def test_a_sentence_that_gets_a_speaker_later(spark):
     unsaid = [(None, f"{i:032d}", 6) for i in range(60)]
     data = lambda rows: spark.createDataFrame([(i, s, bytes.fromhex(k), n) for i, (s, k, n) in enumerate(rows)], "row_id long, speaker string, sentence binary, n_words int")
