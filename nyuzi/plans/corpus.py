@@ -373,10 +373,10 @@ def q35_partitioned_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "omni_corpus").where(split.valid_label(F.col("text"))).select("row_id", "text", "audio_size", "split", "language")
     sinks.corpus(rows, root)
     back = readers.corpus(spark, root, ["kik", "luo"], "dev")
-    return back.select("row_id", F.md5("text").alias("text_md5"), "audio_size", "language")
+    return back.select("row_id", F.md5("text").alias("text_md5"), F.coalesce("audio_size", F.lit(-1)).alias("audio_size"), "language")
 
 
-Q35 = "SELECT row_id, md5(text) AS text_md5, audio_size, language FROM omni_corpus WHERE text IS NOT NULL AND length(text) > 0 AND split = 'dev' AND language IN ('kik', 'luo')"
+Q35 = "SELECT row_id, md5(text) AS text_md5, coalesce(audio_size, -1) AS audio_size, language FROM omni_corpus WHERE text IS NOT NULL AND length(text) > 0 AND split = 'dev' AND language IN ('kik', 'luo')"
 
 def q38_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All raw clips converted to FLAC at 16 kHz, and what each file gave."""
