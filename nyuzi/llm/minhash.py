@@ -1,7 +1,8 @@
-"""Minwise hash signatures of character shingles, in bands."""
+"""Minwise hash signatures of letter shingles and words, in bands."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,34 +23,48 @@ def shingles(key: str, q: int) -> np.ndarray:
     return np.unique(h)
 
 
+def word_hashes(key: str) -> np.ndarray:
+    """64-bit hashes of the distinct words of a key."""
+    return np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in set(key.split(" "))], np.uint64)
+
+
 class Bands:
-    """``bands`` bands of ``rows`` minwise hashes each; the same seed gives the same bands everywhere."""
+    """Bands of minwise hashes of letter shingles and of words; the same seed gives the same bands everywhere.
+
+    ``bands`` bands of ``rows`` hashes each of the ``q``-letter shingles, then ``word_bands`` bands of ``word_rows`` of the words.
+    """
 
-    def __init__(self, bands: int, rows: int, q: int, seed: int = 7):
+    def __init__(self, bands: int, rows: int, q: int, word_bands: int = 0, word_rows: int = 4, seed: int = 7):
+        self.q, self.families = q, []
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, self.q = bands, rows, q
-        self.mul = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-        self.mix = rng.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        odd = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        first = 0
+        for n, r, make in ((bands, rows, lambda k: shingles(k, q)), (word_bands, word_rows, word_hashes)):
+            number = np.arange(first, first + n, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+            self.families.append((make, n, r, odd(n * r), rng.integers(0, 2**63, n * r, dtype=np.uint64), odd(r), number))
+            first += n
+        self.bands = first
 
     def buckets(self, key: str) -> np.ndarray:
-        h = shingles(key, self.q)
-        low = (h[:, None] * self.mul[None, :] + self.add[None, :] >> np.uint64(20)).min(axis=0).reshape(self.bands, self.rows)
-        b = (low * self.mix).sum(axis=1, dtype=np.uint64) ^ (np.arange(self.bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        return b.view(np.int64)
+        out = []
+        for make, n, r, mul, add, mix, number in self.families:
+            if n:
+                low = (make(key)[:, None] * mul[None, :] + add[None, :] >> np.uint64(20)).min(axis=0).reshape(n, r)
+                out.append((low * mix).sum(axis=1, dtype=np.uint64) ^ number)
+        return np.concatenate(out).view(np.int64)
 
 
-def banded(df: DataFrame, key: str, carry: list[str], bands: int, rows: int, q: int) -> DataFrame:
-    """One row ``*carry, bucket`` for each band of each key."""
+def banded(df: DataFrame, key: str, carry: list[str], *shape: int) -> DataFrame:
+    """One row ``*carry, bucket`` for each band of each key; ``shape`` as :class:`Bands` takes it."""
     source = df.select(*carry, key)
     schema = T.StructType([source.schema[c] for c in carry] + [T.StructField("bucket", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maker = Bands(bands, rows, q)
+        maker = Bands(*shape)
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
-                out = part[carry].loc[part.index.repeat(bands)].reset_index(drop=True)
+                out = part[carry].loc[part.index.repeat(maker.bands)].reset_index(drop=True)
                 out["bucket"] = np.concatenate([maker.buckets(k) for k in part[key]])
                 yield out
 

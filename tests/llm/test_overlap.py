@@ -66,6 +66,32 @@ def test_pairs_against_brute_force(spark):
     assert len(want) > 30 and got == want
 
 
+def test_one_long_word_of_six_is_found(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        base = ["".join(rng.choice("bdgkmn") + rng.choice("aeiou") for _ in range(rng.randint(1, 2))) for _ in range(6)]
+        for split in ("train", "dev"):
+            base[i % 6] = "".join(rng.choice("prstvw") + rng.choice("aeiou") for _ in range(12))
+            rows.append((2 * i + (split == "dev"), " ".join(base), split))
+    df = spark.createDataFrame(rows, "utt_id long, text string, split string")
+    got = {tuple(r) for r in O.cross_split_pairs(df, "utt_id", "text", "split").collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(150)}
+
+
+def test_one_letter_in_ten_anywhere_is_found(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(150):
+        words = ["".join(rng.choice("bdgkmnprstvw") + rng.choice("aeiou") for _ in range(5)) for _ in range(6)]
+        rows.append((2 * i, " ".join(words), "train"))
+        rows.append((2 * i + 1, " ".join(w[:4] + "ũ" + w[5:] for w in words), "test"))
+    df = spark.createDataFrame(rows, "utt_id long, text string, split string")
+    got = {tuple(r) for r in O.cross_split_pairs(df, "utt_id", "text", "split").collect()}
+    want = {(2 * i, 2 * i + 1) for i in range(150)}
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_copies_and_odd_rows(spark):
     t = "moja mbili tatu nne tano sita saba"
     rows = [(1, t, "train"), (2, t.upper() + "!", "dev"), (3, t, "test"), (4, t, None), (5, None, "train"), (6, "", "dev"), (7, "fupi tu", "train"), (8, "fupi tu", "dev"), (9, t, "train"), (None, t, "dev"), (10, "neno " * 30_000, "train"), (11, "neno " * 30_000 + "x", "dev")]
