@@ -44,30 +44,45 @@ def split_name(split):
     return F.when(s.isin("dev", "valid", "validation"), "dev").when(s.isin("train", "test"), s)
 
 
-def edit_distance(a, b, most: int) -> int:
-    """Levenshtein distance of two sequences in a band of ``most``; ``most + 1`` if it is more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
+def _banded(a, b, most: int) -> int:
+    """Levenshtein distance within a band of ``most`` around the diagonal; ``most + 1`` if it is more."""
     far = most + 1
+    row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         low, high = max(1, i - most), min(len(b), i + most)
         new = [far] * (len(b) + 1)
         if low == 1:
             new[0] = min(i, far)
         for j in range(low, high + 1):
-            cost = row[j - 1] + (x != b[j - 1])
-            if row[j] + 1 < cost:
-                cost = row[j] + 1
-            if new[j - 1] + 1 < cost:
-                cost = new[j - 1] + 1
-            new[j] = cost
+            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
         row = new
         if min(row[low - 1 : high + 1]) > most:
             return far
     return min(row[len(b)], far)
 
 
+def edit_distance(a, b, most: int) -> int:
+    """Levenshtein distance of two sequences; ``most + 1`` if it is more than ``most``.
+
+    What both begin and end with is left out, and the band widens only as far as needed, so that long texts of few differences are quick.
+    """
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    first, short = 0, min(len(a), len(b))
+    while first < short and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < short - first and a[len(a) - 1 - last] == b[len(b) - 1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if not a or not b:
+        return min(max(len(a), len(b)), most + 1)
+    band = min(most, max(4, abs(len(a) - len(b))))
+    while (d := _banded(a, b, band)) > band and band < most:
+        band = min(most, 4 * band)
+    return min(d, most + 1)
+
+
 def nearly_same(a: str, b: str) -> bool:
     """At most one word in six or one letter in ten added, dropped or replaced, of the longer sentence."""
     if a == b:
