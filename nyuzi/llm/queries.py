@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nyuzi.llm import chunking, groups, leakage, mixture, mojibake, overlap, reading, unify
-from nyuzi.session import cut, table
+from nyuzi.session import batch_rows, cut, table
+
+#: Recordings in an Arrow batch: at half a megabyte each, a quarter of a gigabyte.
+AUDIO_ROWS = 512
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings over 17,500 samples, and whether all needed cuts can lie in pauses."""
+    batch_rows(spark, AUDIO_ROWS)
     return chunking.oversized(table(spark, sf_dir, "omni_corpus"), ["row_id"])
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every readable recording."""
+    batch_rows(spark, AUDIO_ROWS)
     pieces = chunking.split_audio(table(spark, sf_dir, "omni_corpus"), ["row_id"])
     return pieces.select("row_id", "piece_no", "start", "stop", "cut_kind", F.md5("piece_bytes").alias("piece_md5"))
 
