@@ -7,7 +7,9 @@ nothing but aggregations; what comes to the driver is the few expressions that c
 
 Defined results: null, blank and stand-in values ("n/a", "-") count as missing; a load of null is a load of its own; a column without
 values has no expression and no issues but missing; a tie for the most frequent value goes to the greater value; repeated rows count
-each time; an empty table gives an empty profile; binary columns are profiled by their first four bytes in hexadecimal.
+each time; an empty table gives an empty profile; a binary counts by the digest of all its bytes and its length is that in octets, while its
+least and greatest values and its expressions show the first four bytes in hexadecimal; a struct that holds binaries is profiled field by field,
+any other as one JSON text.
 """
 
 from __future__ import annotations
@@ -34,30 +36,45 @@ def is_missing(value: Column) -> Column:
     return value.isNull() | ~bare.rlike(r"[\p{L}\p{N}]") | bare.isin(*STAND_INS)
 
 
-def as_text(name: str, kind: T.DataType) -> Column:
-    """A column as the text that is profiled."""
-    if isinstance(kind, T.StructType):
-        inner = next((f.name for f in kind.fields if isinstance(f.dataType, T.BinaryType)), None)
-        return F.hex(F.substring(F.col(f"`{name}`.`{inner}`"), 1, 4)) if inner else F.to_json(F.col(f"`{name}`"))
+def _holds_binary(kind: T.DataType) -> bool:
+    return isinstance(kind, T.BinaryType) or (isinstance(kind, T.StructType) and any(_holds_binary(f.dataType) for f in kind.fields))
+
+
+def leaves(name: str, kind: T.DataType, at: Column | None = None) -> list[tuple[str, Column, T.DataType]]:
+    """What a column is profiled as, ``name, column, type``: itself, or each field of a struct that holds binaries, as ``column.field``."""
+    at = F.col(f"`{name}`") if at is None else at
+    if isinstance(kind, T.StructType) and _holds_binary(kind):
+        return [leaf for f in kind.fields for leaf in leaves(f"{name}.{f.name}", f.dataType, at.getField(f.name))]
+    return [(name, at, kind)]
+
+
+def profiled_names(df: DataFrame, columns: list[str]) -> list[str]:
+    """The names under which ``columns`` are profiled."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return [name for c in columns for name, _, _ in leaves(c, kinds[c])]
+
+
+def as_value(at: Column, kind: T.DataType) -> Column:
+    """``value, length, digest``: the text that is profiled and its code points; of a binary its first four bytes, its octets and the digest of all."""
     if isinstance(kind, T.BinaryType):
-        return F.hex(F.substring(F.col(f"`{name}`"), 1, 4))
-    if isinstance(kind, (T.ArrayType, T.MapType)):
-        return F.to_json(F.col(f"`{name}`"))
-    return F.col(f"`{name}`").cast("string")
+        return F.struct(F.hex(F.substring(at, 1, 4)).alias("value"), F.octet_length(at).alias("length"), F.md5(at).alias("digest"))
+    text = F.to_json(at) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else at.cast("string")
+    return F.struct(text.alias("value"), F.char_length(text).alias("length"), F.lit(None).cast("string").alias("digest"))
 
 
 def value_counts(df: DataFrame, load: str, columns: list[str], group: str | None = None) -> DataFrame:
-    """``load_id, grp, column_name, value, length, n``: every different value of every column in every load.
+    """``load_id, grp, column_name, value, digest, length, n``: every different value of every column in every load.
 
-    Values over ``VALUE_LENGTH`` code points stand for by their beginning and the digest of the whole, so long texts are not shuffled.
+    Values over ``VALUE_LENGTH`` code points stand for by their beginning and the digest of the whole, so long texts are not shuffled; binaries
+    are told apart by the digest of all their bytes.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), as_text(c, kinds[c]).alias("value")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(name).alias("column_name"), as_value(at, kind).alias("v")) for c in columns for name, at, kind in leaves(c, kinds[c])])
     flat = df.select(F.col(f"`{load}`").cast("string").alias("load_id"), (F.col(f"`{group}`").cast("string") if group else F.lit(None).cast("string")).alias("grp"), F.explode(pairs).alias("p"))
-    v = F.col("p.value")
+    v = F.col("p.v.value")
     short = F.when(F.char_length(v) <= VALUE_LENGTH, v).otherwise(F.concat(F.substring(v, 1, VALUE_LENGTH), F.lit(" #"), F.md5(v)))
-    named = flat.select("load_id", "grp", F.col("p.column_name").alias("column_name"), short.alias("value"), F.char_length(v).alias("length"))
-    return named.groupBy("load_id", "grp", "column_name", "value").agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("n"))
+    named = flat.select("load_id", "grp", F.col("p.column_name").alias("column_name"), short.alias("value"), F.col("p.v.digest").alias("digest"), F.col("p.v.length").alias("length"))
+    return named.groupBy("load_id", "grp", "column_name", "value", "digest").agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("n"))
 
 
 def _shape(value: Column) -> Column:
@@ -71,11 +88,12 @@ def _shape(value: Column) -> Column:
 def induce_expressions(counts: DataFrame) -> DataFrame:
     """``column_name, family, shape, open, n_values, n_rows, share, bits`` of the expressions that describe each column in the fewest bits.
 
-    ``counts``: distinct ``column_name, value, length, n`` without missing values. A value costs the bits of its symbols within its
+    ``counts``: distinct ``column_name, value, digest, length, n`` without missing values. A value costs the bits of its symbols within its
     class; an exact shape costs its own text once, a shape of open runs also the length of each run in each value; values that no shape
     pays for are left to ``.*`` at eight bits a character.
     """
-    values = counts.groupBy("column_name", "value").agg(F.sum("n").alias("n"), F.max("length").alias("len"))
+    length = F.when(F.col("digest").isNull(), F.col("length")).otherwise(F.char_length("value"))  # of a binary its first bytes have a form
+    values = counts.groupBy("column_name", "value", "digest").agg(F.sum("n").alias("n"), F.max(length).alias("len"))
     v = values.withColumn("s0", F.when(F.col("len") <= SHAPE_LENGTH, _shape(F.col("value"))))
     v = v.withColumn("s1", F.regexp_replace("s0", r"([Aa9L])\1*", "$1+"))
     count_of = lambda c: F.char_length("s0") - F.char_length(F.regexp_replace("s0", c, ""))
@@ -161,15 +179,15 @@ def profile_counts(counts: DataFrame, expressions: dict[str, list[str]]) -> Data
             F.min(F.when(here, F.col("value"))).alias("least"),
             F.max(F.when(here, F.col("value"))).alias("greatest"),
             F.sum(F.when(F.col("bad"), n).otherwise(0)).alias("n_nonconforming"),
-            F.max(F.when(here, F.struct("n", "value"))).alias("top"),
+            F.max(F.when(here, F.struct("n", "value", "digest"))).alias("top"),
             (F.sum(F.when(here, n * length)) / F.sum(F.when(here, n))).alias("mean_length"),
         )
-        .select("load_id", "grp", "column_name", "n_rows", "n_null", "n_missing", "n_values", "n_distinct", "least", "greatest", "n_nonconforming", F.col("top.value").alias("top_value"), F.coalesce(F.col("top.n"), F.lit(0)).alias("top_n"), "mean_length")
+        .select("load_id", "grp", "column_name", "n_rows", "n_null", "n_missing", "n_values", "n_distinct", "least", "greatest", "n_nonconforming", F.when(F.col("top").isNotNull(), F.concat_ws(" #", "top.value", "top.digest")).alias("top_value"), F.coalesce(F.col("top.n"), F.lit(0)).alias("top_n"), "mean_length")
     )
 
 
 def profile(df: DataFrame, load: str, columns: list[str] | None = None, group: str | None = None) -> DataFrame:
-    """The profile of every column in every load, with each load's departure from the loads of its group.
+    """The profile of every column in every load, by load and column, with each load's departure from the loads of its group.
 
     ``length_ratio`` is a load's mean value length over the median of its group's loads; ``conforming_change`` its conforming share less
     the median of its group's.
@@ -180,9 +198,9 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, group: s
     rows = cut(profile_counts(counts, expressions))
     share = F.when(F.col("n_values") > 0, 1 - F.col("n_nonconforming") / F.col("n_values"))
     medians = rows.withColumn("ok", share).groupBy("grp", "column_name").agg(F.median("mean_length").alias("mid_length"), F.median("ok").alias("mid_ok"))
-    named = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit("|".join(expressions.get(c, [".*"]))))])
+    named = F.create_map(*[x for c in profiled_names(df, columns) for x in (F.lit(c), F.lit("|".join(expressions.get(c, [".*"]))))])
     out = rows.alias("r").join(medians.alias("m"), F.col("r.grp").eqNullSafe(F.col("m.grp")) & (F.col("r.column_name") == F.col("m.column_name")), "left")
-    return out.select("r.*", named[F.col("r.column_name")].alias("expression"), (F.col("mean_length") / F.col("mid_length")).alias("length_ratio"), (share - F.col("mid_ok")).alias("conforming_change"))
+    return out.select("r.*", named[F.col("r.column_name")].alias("expression"), (F.col("mean_length") / F.col("mid_length")).alias("length_ratio"), (share - F.col("mid_ok")).alias("conforming_change")).orderBy("load_id", "column_name")
 
 
 def load_issues(profiled: DataFrame, identifier: str, text: str, share: float = 0.25, least_values: int = 20, factor: float = 2.0) -> DataFrame:

@@ -95,3 +95,15 @@ def test_a_hot_load_and_value(spark):
     rows = [("hot", "s", "x y z", "KIK-000001")] * 3000 + [(f"l{i}", "s", f"t {i}", f"KIK-{i:06d}") for i in range(100)]
     r = next(r for r in P.profile(loads(spark, rows), "load_id", ["transcription"], "source").collect() if r["load_id"] == "hot")
     assert (r["n_rows"], r["n_distinct"], r["top_n"]) == (3000, 1, 3000)
+
+
+def test_binaries_by_all_their_bytes_and_structs_by_field(spark):
+    rows = [("l1", (b"RIFF" + bytes([i % 3]) * (100 + i % 3), None if i == 5 else f"p{i}")) for i in range(6)] + [("l2", (b"RIFF", "p")), ("l2", None)]
+    df = spark.createDataFrame(rows, "load_id string, audio struct<bytes:binary,path:string>")
+    got = {(r["load_id"], r["column_name"]): r for r in P.profile(df, "load_id").collect()}
+    assert set(got) == {(load, c) for load in ("l1", "l2") for c in ("audio.bytes", "audio.path")}
+    audio, path = got["l1", "audio.bytes"], got["l1", "audio.path"]
+    assert (audio["n_distinct"], audio["top_n"], audio["mean_length"], audio["least"]) == (3, 2, 105.0, "52494646") and len(audio["top_value"]) > 40
+    assert (path["n_distinct"], path["n_null"], path["least"], path["greatest"]) == (5, 1, "p0", "p4")
+    assert (got["l2", "audio.bytes"]["n_null"], got["l2", "audio.path"]["n_null"]) == (1, 1)
+    assert abs(got["l2", "audio.bytes"]["length_ratio"] - 4 / 54.5) < 1e-9
