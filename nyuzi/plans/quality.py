@@ -24,8 +24,8 @@ def p6_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The induced expressions of every column of raw_clips that cover at least a hundredth of its rows."""
     raw = table(spark, sf_dir, "raw_clips")
     counts = profile.value_counts(raw, "load_id", [c for c in raw.columns if c != "load_id"])
-    out = profile.induce_expressions(counts.where(~profile.is_missing(F.col("value"))))
-    return out.where("share >= 0.01").select("column_name", "shape", "open", "n_values", "n_rows", F.round("share", 9).alias("share"), F.round("bits", 2).alias("bits"))
+    out = profile.induce_expressions(counts.where("NOT missing"))
+    return out.where("share >= 0.01").select("column_name", "shape", "open", "mixed", "n_values", "n_rows", F.round("share", 9).alias("share"), F.round("bits", 2).alias("bits"))
 
 
 _STAND_INS = ", ".join("'" + s.replace("'", "''") + "'" for s in profile.STAND_INS)

@@ -107,3 +107,22 @@ def test_binaries_by_all_their_bytes_and_structs_by_field(spark):
     assert (path["n_distinct"], path["n_null"], path["least"], path["greatest"]) == (5, 1, "p0", "p4")
     assert (got["l2", "audio.bytes"]["n_null"], got["l2", "audio.path"]["n_null"]) == (1, 1)
     assert abs(got["l2", "audio.bytes"]["length_ratio"] - 4 / 54.5) < 1e-9
+
+
+def test_long_values_have_expressions_and_others_do_not_conform(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["moja", "mbili,", "tatu", "Nne", "t\u0169.", "saba"]) for _ in range(n)) + " Moja, t\u0169."
+    rows = [("ok", "s", text(rng.randint(60, 90)), None) for _ in range(60)] + [("bad", "s", "x\u0169 A, b." * 40 + f"<{i}>" * 9, None) for i in range(20)] + [("blank", "s", " -" * 300, None)]
+    got = {r["load_id"]: r for r in P.profile(loads(spark, rows), "load_id", ["transcription"], "source").collect()}
+    assert got["ok"]["n_nonconforming"] == 0 and got["ok"]["expression"] not in (None, ".*")
+    assert all(re.fullmatch(got["ok"]["expression"].split("|")[0], r[2]) for r in rows[:60])
+    assert got["blank"]["n_missing"] == 1
+    few = [("a", "s", "".join(chr(rng.randint(33, 126)) for _ in range(80)), None) for i in range(40)]
+    got = P.profile(loads(spark, few), "load_id", ["transcription"], "source").first()
+    assert got["n_nonconforming"] == got["n_values"] == 40 and got["expression"] is None
+
+
+def test_ids_that_are_long_have_an_exact_expression(spark):
+    df = spark.createDataFrame([("l", "x" * 50 + f"-{i:030d}" + "y" * 300) for i in range(200)] + [("m", "x" * 50 + f"-{i:030d}" + "y" * 299 + "7") for i in range(3)], "load_id string, v string")
+    got = {r["load_id"]: r for r in P.profile(df, "load_id").collect()}
+    assert got["l"]["expression"] == "[a-z]{50}-[0-9]{30}[a-z]{300}" and (got["l"]["n_nonconforming"], got["m"]["n_nonconforming"]) == (0, 3)
