@@ -6,7 +6,7 @@ The component table of speakers and sentences is persisted: on the next delivery
 split, new components fill what the splits lack, and a component that joins members of different splits is quarantined.
 
 Defined results: null and blank speakers tie nobody, their rows follow their sentence; sentences under ``min_words`` words tie
-nobody (nearly everybody says "yes"); rows without speaker and sentence stand alone; ties in size go to the lower hash; repeated
+nobody (nearly everybody says "yes"), :func:`one_side` gives each of them a side instead; rows without speaker and sentence stand alone; ties in size go to the lower hash; repeated
 rows are counted and placed alike; an empty table gives an empty result; extra columns are never read.
 """
 
@@ -132,3 +132,24 @@ def assign_splits(rows: DataFrame, prior: DataFrame | None = None, splits=SPLITS
     table = speakers.unionByName(known).unionByName(unsaid.join(known, "node", "left_anti"))
     table = table.join(chosen.withColumnRenamed("group", "root"), "root").select("node", "root", "split")
     return placed.join(chosen, "group").select("row_id", "group", "split"), table
+
+
+def one_side(rows: DataFrame, placed: DataFrame, prior: DataFrame | None = None, min_words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Sentences under ``min_words`` words on one side; returns ``row_id, group, split`` and ``sentence, split``, the sides to persist.
+
+    A short sentence keeps the side it has in ``prior`` (the sides this returned last time), else gets the side that most of its rows lie on. Rows
+    whose speaker lies on another side get the split ``quarantine``; rows without a speaker follow their sentence.
+    """
+    short = (F.col("n_words") < min_words) & F.col("sentence").isNotNull()
+    said = rows.where(short).select("row_id", "sentence", F.col("speaker").isNull().alias("silent"))
+    # a row_id may repeat: its copies lie on one side unless they differ in speaker, so both tables are reduced to different rows
+    at = cut(said.distinct().join(placed.distinct(), "row_id").select("row_id", "sentence", "silent", "group", "split"))
+    n = at.where("split <> 'quarantine'").groupBy("sentence", "split").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("silent"), 1)).alias("spoken"))
+    sides = n.groupBy("sentence").agg(F.max(F.struct("spoken", "n", "split")).alias("m")).select("sentence", F.col("m.split").alias("side"))
+    if prior is not None:
+        old = prior.select("sentence", F.col("split").alias("kept"))
+        sides = sides.join(old, "sentence", "full").select("sentence", F.coalesce("kept", "side").alias("side"))
+    sides = cut(sides)
+    moved = at.join(sides, "sentence").where("split <> side").select("row_id", "group", F.when(F.col("silent"), F.col("side")).otherwise("quarantine").alias("to")).distinct()
+    out = placed.join(moved, ["row_id", "group"], "left").select("row_id", "group", F.coalesce("to", "split").alias("split"))
+    return out, sides.withColumnRenamed("side", "split")

@@ -62,14 +62,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.tied_speakers(_spoken(spark, sf_dir))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(_spoken(spark, sf_dir))
+    return groups.one_side(rows, cut(groups.assign_splits(rows)[0]))[0]
+
+
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of omni_corpus with its group and split."""
-    return groups.assign_splits(cut(_spoken(spark, sf_dir)))[0]
+    """Every record of omni_corpus with its group and split; records of a short sentence whose speaker lies on another side are in quarantine."""
+    return _placed(spark, sf_dir)
 
 
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and groups of each split."""
-    placed = groups.assign_splits(cut(_spoken(spark, sf_dir)))[0]
+    placed = _placed(spark, sf_dir)
     per_group = placed.groupBy("split", "group").agg(F.count(F.lit(1)).alias("n"))
     return per_group.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
 

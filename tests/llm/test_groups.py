@@ -123,3 +123,25 @@ def test_speakers_and_sentences_as_compared(spark):
     assert sorted((r["row_id"], r["speaker"], r["n_words"]) for r in rows) == [(1, "kik-1", 5), (2, "kik-2", 5), (3, None, 0), (4, None, 1), (5, "kik-1", 0)]
     got = G.tied_speakers(G.utterance_speakers(records, utterances)).select(F.concat_ws("/", "speaker_id", "group_id")).collect()
     assert sorted(r[0] for r in got) == ["kik-1/kik-1", "kik-2/kik-1"]
+
+
+def test_short_sentences_lie_on_one_side(spark):
+    rng = random.Random(3)
+    data = [(f"s{i % 80:02}", f"own{i}", 6) for i in range(400)] + [(rng.choice([None, *(f"s{i:02}" for i in range(80))]), rng.choice(["yes", "no", "so"]), 1) for _ in range(90)]
+    rows = rows_of(spark, data)
+    placed, _ = G.assign_splits(rows)
+    placed = placed.cache()
+    was = {r["row_id"]: r["split"] for r in placed.collect()}
+    out, sides = G.one_side(rows, placed)
+    side, sides = {r["row_id"]: r["split"] for r in out.collect()}, {bytes(r["sentence"]).decode(): r["split"] for r in sides.collect()}
+    assert set(side) == set(was) and set(sides) == {"yes", "no", "so"}
+    seen = {}
+    for i, (s, k, _) in enumerate(data):
+        if side[i] != "quarantine":
+            for node in (("s", s), ("t", k)):
+                assert node == ("s", None) or seen.setdefault(node, side[i]) == side[i]
+        assert side[i] == was[i] or (k in sides and was[i] != sides[k] and side[i] == (sides[k] if s is None else "quarantine"))
+    assert "quarantine" in side.values() and "quarantine" not in was.values()
+    kept = spark.createDataFrame([(b"yes", "test")], "sentence binary, split string")
+    later = {r["row_id"]: r["split"] for r in G.one_side(rows, placed, kept)[0].collect()}
+    assert {later[i] for i, (s, k, _) in enumerate(data) if k == "yes"} <= {"test", "quarantine"}
