@@ -1,10 +1,13 @@
 """Evaluation texts inside a training corpus: q-gram lemma filtering in diagonal bands, verified by banded alignment.
 
-The q-grams of the items are a lookup table on the executors (its size is checked; more items are taken in blocks of
+The q-grams of the items are a lookup table on the executors (its size is checked in letters; more items are taken in blocks of
 items, each a pass of its own, so no item count is too large). The corpus is read once a block and never shuffled. In a
-document, each q-gram that an item shares lies on a diagonal (place in the document less place in the item); counts are kept in
-overlapping bands of diagonals, and a region is kept when its count reaches what the q-gram lemma leaves of a run of half the item
-after the words that may change. Only there are the words aligned, inside the band.
+document, each letter q-gram that an item shares lies on a diagonal, the word of the document it begins in less the word of the item; since a
+word that is changed, added or left out moves the diagonal by one word at most, however long it is, a run lies within as many diagonals as
+the item's edit budget. Counts are kept in overlapping bands of twice that width, and a region is kept when its count reaches the least
+that the q-gram lemma leaves of any run that counts, over all lengths from half the item to the whole, each with its own budget. Only
+there are the words aligned. Items so short that the lemma leaves nothing are aligned with every document that shares a word. So the filter
+drops no run that the alignment would accept.
 
 Defined results: null and empty texts hold nothing; items without words are never found; an item found twice in a document is
 one row; repeated documents are each reported; a document without an id is
@@ -14,6 +17,7 @@ reported with a null id, an item without one is ignored; an empty table gives an
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,10 +30,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from nyuzi.llm.textnorm import sentence_words
 
-#: Letters of a q-gram, and diagonals of half a band.
-Q, HALF_BAND = 8, 48
-#: Most items looked up at once: 20,000 items of 400 letters are 8 million q-grams, about 200 MB on an executor core.
-BLOCK_ITEMS = 20_000
+#: Letters of a q-gram.
+Q = 8
+#: Letters of the items looked up at once: an index takes about 16 bytes a letter, 128 MB in a Python worker.
+BLOCK_LETTERS = 8 << 20
+#: Letters of a document, and its shared q-grams, that are looked at together; counts are added up over such slices.
+SLICE, MOST_HITS = 1 << 20, 1 << 20
 _LINE_MARK = re.compile(r"(?m)^[ \t]*(?:[A-Z]:|\d{1,3}[.)]|[-*•])[ \t]+")
 
 
@@ -62,60 +68,88 @@ def codes(key: str) -> np.ndarray:
 
 
 class Items:
-    """The q-gram index of a block of items."""
+    """The q-gram index of a block of items, each a list of words."""
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[int, list[str]]], rule: Rule = Rule()):
-        self.rule = rule
-        self.words = [w for _, w in items]
-        hashes, owner, place, need = [], [], [], []
-        for k, words in enumerate(self.words):
+    def __init__(self, items: list[list[str]], rule: Rule = Rule()):
+        self.rule, self.words = rule, items
+        hashes, owner, place = [], [], []
+        for k, words in enumerate(items):
             h = grams(codes(" ".join(words)))
-            hashes.append(h), owner.append(np.full(len(h), k, np.int32)), place.append(np.arange(len(h), dtype=np.int32))
-            need.append(self._need(words))
-        self.need = np.array(need, np.int32)
+            hashes.append(h), owner.append(np.full(len(h), k, np.int32)), place.append(word_places(words)[: len(h)])
+        self.need = np.array([least_shared(words, rule) for words in items], np.int64)
+        #: A run's diagonals differ by at most its budget, so it lies in one band of twice this width, one beginning each such width.
+        self.half = np.array([int(len(words) * rule.changed) + 1 for words in items], np.int64)
+        #: Items of which a run may share no q-gram.
+        self.bare = [k for k, words in enumerate(items) if words and self.need[k] < 1]
+        self.sets = {k: set(items[k]) for k in self.bare}
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
-        self.hash, self.owner, self.place = h[order], np.concatenate(owner)[order] if hashes else np.zeros(0, np.int32), np.concatenate(place)[order] if hashes else np.zeros(0, np.int32)
+        self.hash, self.owner, self.place = h[order], (np.concatenate(owner)[order] if hashes else np.zeros(0, np.int32)), (np.concatenate(place)[order] if hashes else np.zeros(0, np.int32))
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[self.hash >> np.uint64(64 - self.BITS)] = True
 
-    def _need(self, words: list[str]) -> int:
-        """q-gram lemma: q-grams that a run of the least length keeps when the words that may change are the longest."""
-        if not words:
-            return 1 << 30
-        least = max(1, int(np.ceil(len(words) * self.rule.part)))
-        size = np.array([len(w) + 1 for w in words])
-        run = np.convolve(size, np.ones(least, int), "valid").min() - 1
-        edits = int(least * self.rule.changed)
-        lost = edits * (int(size.max()) + Q - 1)
-        return max(3, int(run) - Q + 1 - lost)
-
-    def regions(self, code: np.ndarray) -> list[tuple[int, int, int]]:
-        """``item, first and last place in the document`` of the bands that hold enough shared q-grams."""
-        h = grams(code)
-        at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.BITS)])
-        if not len(at):
+    def _hits(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in the index and words of the document of shared q-grams, a bounded number at a time."""
+        code, at_word = codes(" ".join(words)), word_places(words)
+        for begin in range(0, max(1, len(code) - Q + 1), SLICE):
+            h = grams(code[begin : begin + SLICE + Q - 1])
+            at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.BITS)])
+            if not len(at):
+                continue
+            low = np.searchsorted(self.hash, h[at], "left")
+            count = np.searchsorted(self.hash, h[at], "right") - low
+            at, low, count = at[count > 0], low[count > 0], count[count > 0]
+            if not len(at):
+                continue
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(count) // MOST_HITS)) + 1):
+                n = count[part]
+                hit = np.repeat(low[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                yield hit, np.repeat(at_word[begin + at[part]], n).astype(np.int64)
+
+    def regions(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """``item, first and last word of the document`` of the bands that hold enough shared q-grams."""
+        parts = []
+        for hit, word in self._hits(words):
+            item = self.owner[hit].astype(np.int64)
+            band = (word - self.place[hit]) // self.half[item]
+            key, word = np.concatenate([item, item]) * (1 << 33) + np.concatenate([band, band - 1]) + (1 << 31), np.concatenate([word, word])
+            parts.append(_summed(key, np.ones(len(key), np.int64), word, word))
+        if not parts:
             return []
-        low = np.searchsorted(self.hash, h[at], "left")
-        count = np.searchsorted(self.hash, h[at], "right") - low
-        at, low, count = at[count > 0], low[count > 0], count[count > 0]
-        if not len(at):
-            return []
-        pos = np.repeat(at, count)
-        hit = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        item, diagonal = self.owner[hit].astype(np.int64), pos - self.place[hit]
-        band = diagonal // HALF_BAND
-        item2, band2, pos2 = np.concatenate([item, item]), np.concatenate([band, band - 1]), np.concatenate([pos, pos])
-        key = item2 * (1 << 32) + (band2 + (1 << 24))
-        order = np.argsort(key, kind="stable")
-        key, pos2, item2 = key[order], pos2[order], item2[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.concatenate((first, [len(key)])))
-        keep = size >= self.need[item2[first]]
-        low_pos, high_pos = np.minimum.reduceat(pos2, first), np.maximum.reduceat(pos2, first)
-        return [(int(i), int(a), int(b)) for i, a, b in zip(item2[first][keep], low_pos[keep], high_pos[keep])]
+        key, size, low, high = parts[0] if len(parts) == 1 else _summed(*(np.concatenate(x) for x in zip(*parts)))
+        item = key >> 33
+        keep = size >= self.need[item]
+        return [(int(i), int(a), int(b)) for i, a, b in zip(item[keep], low[keep], high[keep])]
+
+
+def word_places(words: list[str]) -> np.ndarray:
+    """For each letter of the words joined by blanks, the word it belongs to; a blank belongs to the word before."""
+    return np.repeat(np.arange(len(words), dtype=np.int32), [len(w) + 1 for w in words])
+
+
+def least_shared(words: list[str], rule: Rule, q: int = Q) -> int:
+    """q-gram lemma: q-grams that the text keeps of any run of at least ``rule.part`` of the words, whatever words its own budget changes.
+
+    A changed word takes at most its letters and q - 1 more q-grams with it, one left out also those of its blank, one added q - 1.
+    """
+    n = len(words)
+    if not n:
+        return 1 << 40
+    size = np.array([len(w) for w in words])
+    ends = np.concatenate(([0], np.cumsum(size + 1)))
+    cost = np.concatenate(([0], np.cumsum(np.sort(size)[::-1] + q)))
+    least = max(1, int(np.ceil(n * rule.part)))
+    return min(int((ends[run:] - ends[: n + 1 - run]).min()) - 1 - q + 1 - int(cost[int(run * rule.changed)]) for run in range(least, n + 1))
+
+
+def _summed(key: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys with the sum, least and greatest of what they hold."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(size[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
 
 def longest_run(item: list[str], text: list[str], rule: Rule = Rule()) -> int:
@@ -151,46 +185,65 @@ def longest_run(item: list[str], text: list[str], rule: Rule = Rule()) -> int:
     return best
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _leaks_of(text: str | None, items: Items) -> list[int]:
     """The items that a document holds a run of."""
     words = document_words(text)
     if not words:
         return []
-    hits: dict[int, set[tuple[int, int]]] = {}
-    for k, a, b in items.regions(codes(" ".join(words))):
-        hits.setdefault(k, set()).add((a, b))
-    if not hits:
-        return []
-    rule, found = items.rule, []
-    starts = np.cumsum([0] + [len(w) + 1 for w in words])
-    for k, spans in hits.items():
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for k, a, b in items.regions(words):
+        # a run reaches at most its own length beyond the q-grams it shares
+        reach = len(items.words[k]) + int(items.half[k])
+        spans.setdefault(k, []).append((max(0, a - reach), min(len(words), b + reach + 1)))
+    if items.bare:
+        here = set(words)
+        spans |= {k: [(0, len(words))] for k in items.bare if not here.isdisjoint(items.sets[k])}
+    found = []
+    for k, of in sorted(spans.items()):
         item = items.words[k]
-        slack = int(len(item) * rule.changed) + 2
-        for a, b in sorted(spans, key=lambda s: s[0] - s[1]):
-            i = max(0, int(np.searchsorted(starts, a, "right")) - 1 - slack)
-            j = min(len(words), int(np.searchsorted(starts, b + Q, "left")) + slack)
-            if longest_run(item, words[i:j], rule) >= len(item) * rule.part:
-                found.append(k)
-                break
+        if any(longest_run(item, words[a:b], items.rule) >= len(item) * items.rule.part for a, b in _joined(of)):
+            found.append(k)
     return found
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), block: int = BLOCK_ITEMS) -> DataFrame:
-    """``item_id, doc_id`` for each document that holds a run of an item."""
+_built: dict[str, Items] = {}
+
+
+def _index_of(name: str, words: list[list[str]], rule: Rule) -> Items:
+    """The index of a block, built once a Python worker, not once a task."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Items(words, rule)
+    return _built[name]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), block: int = BLOCK_LETTERS) -> DataFrame:
+    """``item_id, doc_id`` for each document that holds a run of an item. Items go in blocks of about ``block`` letters."""
     spark = docs.sparkSession
     held = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    n = held.count()
+    n = held.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     id_type = to_arrow_type(items.schema["item_id"].dataType)
     blocks = max(1, -(-n // block))
     held = held.withColumn("_b", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     out = None
     for b in range(blocks):
         rows = held.where(F.col("_b") == b).select("item_id", "text").orderBy("item_id").collect()  # one block of checked size
-        index = spark.sparkContext.broadcast([(r["item_id"], sentence_words(r["text"])) for r in rows])
+        index = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [sentence_words(r["text"]) for r in rows]))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            block_items = Items(index.value, rule)
-            ids = pa.array([i for i, _ in index.value], id_type)
+        def run(batches: Iterator[pa.RecordBatch], index=index, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            block_items = _index_of(name, index.value[1], rule)
+            ids = pa.array(index.value[0], id_type)
             for b in batches:
                 hits = [(k, i) for i, t in enumerate(b.column(1).to_pylist()) for k in _leaks_of(t, block_items)]
                 yield pa.RecordBatch.from_arrays(

@@ -65,7 +65,53 @@ def test_search_against_alignment_of_whole_texts(spark):
     assert len(want) >= 75
     got = [tuple(r) for r in L.find_leaks(df, held).collect()]
     assert set(got) == want and len(got) == len(want)
-    assert {tuple(r) for r in L.find_leaks(df, held, block=7).collect()} == want
+    assert {tuple(r) for r in L.find_leaks(df, held, block=2000).collect()} == want
+
+
+def planted(rng, n):
+    """An item of ``n`` words, and a text with a run of it with as many words changed, added or left out as its own budget allows."""
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(a, b)))
+    item = [word(1, 9) for _ in range(n)]
+    size = rng.choice([-(-n // 2), n, rng.randint(-(-n // 2), n)])
+    a = rng.randint(0, n - size)
+    run = item[a : a + size]
+    for at in sorted(rng.sample(range(size), int(size * 0.1)), reverse=True):
+        run[at : at + rng.choice([0, 1, 1])] = rng.choice([[word(1, 3)], [word(10, 30)], []])
+    return item, [word(1, 9) for _ in range(rng.randint(0, 60))] + run + [word(1, 9) for _ in range(rng.randint(0, 60))]
+
+
+def test_filter_loses_no_run_that_alignment_accepts():
+    rng, rule, met = random.Random(12), L.Rule(), 0
+    for trial in range(400):
+        n = rng.randint(8, 120) if trial % 10 else rng.choice([1, 3, 5, 200, 400])
+        item, text = planted(rng, n)
+        want = L.longest_run(item, text, rule) >= n * rule.part
+        met += want
+        assert L._leaks_of(" ".join(text), L.Items([item], rule)) == ([0] if want else []), (item, text)
+    assert met > 340
+
+
+def test_named_losses_of_the_earlier_bounds():
+    rng, rule = random.Random(2), L.Rule()
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    for n, size, changed, added in ((18, 10, 1, 0), (38, 20, 2, 0), (200, 110, 0, 9), (400, 220, 0, 18)):
+        for _ in range(20):
+            item = [word(rng.randint(2, 8)) for _ in range(n)]
+            run = item[:size]
+            for at in rng.sample(range(1, size - 1), changed):
+                run[at] = word(12)
+            for at in sorted(rng.sample(range(1, size - 1), added), reverse=True):
+                run.insert(at, word(12))
+            assert L._leaks_of(" ".join(run), L.Items([item], rule)) == [0]
+
+
+def test_counts_are_added_up_over_slices(monkeypatch):
+    rng = random.Random(4)
+    cases = [planted(rng, 40) for _ in range(20)]
+    items = L.Items([c[0] for c in cases])
+    whole = [L._leaks_of(" ".join(c[1] * 3), items) for c in cases]
+    monkeypatch.setattr(L, "SLICE", 50), monkeypatch.setattr(L, "MOST_HITS", 7)
+    assert [L._leaks_of(" ".join(c[1] * 3), items) for c in cases] == whole and all(i in w for i, w in enumerate(whole))
 
 
 def test_odd_rows(spark):
