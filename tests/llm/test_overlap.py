@@ -92,6 +92,36 @@ def test_one_letter_in_ten_anywhere_is_found(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_repeated_words_and_long_texts_lose_no_pair():
+    rng = random.Random(3)
+    pairs = [("ndio ndio ndio ndio ndio mwalimu", "ndio ndio ndio ndio ndio shuleni"), ("la la la la la hapana", "la la la la la karibuni"), ("haba ri gani bwana mkubwa sana", "habari gani bwana mkubwa sana")]
+    for _ in range(400):
+        few = ["".join(rng.choice("aeiou" if i % 2 else "bdgk") for i in range(rng.randint(1, 8))) for _ in range(rng.choice([2, 3, 20]))]
+        a = [rng.choice(few) for _ in range(rng.randint(6, 40))]
+        b = list(a)
+        for at in rng.sample(range(len(b)), rng.randint(0, len(b) // 6)):
+            b[at] = rng.choice([*few, "kabisa"])
+        c = list(" ".join(b))
+        for _ in range(rng.randint(0, len(c) // 9)):
+            c[rng.randrange(len(c))] = rng.choice("aeiou ")
+        pairs.append((" ".join(a), " ".join("".join(c).split()) or "x"))
+    got, jaccard = O.verify(*map(list, zip(*pairs)))
+    assert [bool(x) for x in got] == [near(x, y) for x, y in pairs] and 100 < got.sum() < 400 and got[:3].all()
+    assert ((jaccard > 0) & (jaccard <= 1))[:3].all()
+    long = "".join(rng.choice("abcdefgh") for _ in range(60_000))
+    other = "".join(rng.choice("ijkl") if rng.random() < 0.05 else c for c in long)
+    assert O.nearly_same(long, other) and not O.nearly_same(long, long[::-1])
+
+
+def test_repeated_words_meet(spark):
+    few = ["ndio", "la", "sawa"]
+    rows = [(2 * i, f"{few[i % 3]} " * (5 + i % 4) + f"mwalimu{i}", "train") for i in range(60)]
+    rows += [(r[0] + 1, r[1].replace("mwalimu", "shuleni kwa")[: -len(str(i))] if i % 2 else r[1].rsplit(" ", 1)[0] + " karibuni", "dev") for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "utt_id long, text string, split string")
+    got = {tuple(r) for r in O.cross_split_pairs(df, "utt_id", "text", "split").collect()}
+    assert got == {(min(a, b), max(a, b)) for a, x, s in rows if s == "train" for b, y, t in rows if t == "dev" and near(x, y)}
+
+
 def test_copies_and_odd_rows(spark):
     t = "moja mbili tatu nne tano sita saba"
     rows = [(1, t, "train"), (2, t.upper() + "!", "dev"), (3, t, "test"), (4, t, None), (5, None, "train"), (6, "", "dev"), (7, "fupi tu", "train"), (8, "fupi tu", "dev"), (9, t, "train"), (None, t, "dev"), (10, "neno " * 30_000, "train"), (11, "neno " * 30_000 + "x", "dev")]
