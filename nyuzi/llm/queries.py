@@ -6,21 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nyuzi.llm import chunking, groups, leakage, mixture, mojibake, overlap, reading, unify
-from nyuzi.session import batch_rows, cut, table
-
-#: Recordings in an Arrow batch: at half a megabyte each, a quarter of a gigabyte.
-AUDIO_ROWS = 512
+from nyuzi.session import cut, scratch_path, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings over 17,500 samples, and whether all needed cuts can lie in pauses."""
-    batch_rows(spark, AUDIO_ROWS)
     return chunking.oversized(table(spark, sf_dir, "omni_corpus"), ["row_id"])
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every readable recording."""
-    batch_rows(spark, AUDIO_ROWS)
     pieces = chunking.split_audio(table(spark, sf_dir, "omni_corpus"), ["row_id"])
     return pieces.select("row_id", "piece_no", "start", "stop", "cut_kind", F.md5("piece_bytes").alias("piece_md5"))
 
@@ -53,22 +48,30 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(_texts(spark, sf_dir), ["table_name", "row_id"])
 
 
-def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.utterance_speakers(table(spark, sf_dir, "omni_corpus"), table(spark, sf_dir, "utterances"))
+def _deliveries(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFrame]:
+    """All records of omni_corpus in two deliveries, those written before the middle of its time and the rest; and the ties of their clips' speakers."""
+    omni, said = table(spark, sf_dir, "omni_corpus"), table(spark, sf_dir, "utterances")
+    at = F.col("written_at").cast("timestamp")
+    t = omni.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    early = F.coalesce(at < F.lit(t["low"] + (t["high"] - t["low"]) / 2), F.lit(False)) if t["low"] else F.lit(False)
+    return [cut(groups.utterance_speakers(omni.where(part), said)) for part in (early, ~early)], cut(groups.clip_ties(omni, said))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speakers tied to others by a shared sentence, with their group."""
-    return groups.tied_speakers(_spoken(spark, sf_dir))
+    """Speakers tied to others by a shared sentence, with their group, from the table that two deliveries leave."""
+    parts, ties = _deliveries(spark, sf_dir)
+    return groups.tied_speakers(groups.deliver_components(parts, scratch_path(spark, "components"), ties))
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut(_spoken(spark, sf_dir))
-    return groups.one_side(rows, cut(groups.assign_splits(rows)[0]))[0]
+    parts, ties = _deliveries(spark, sf_dir)
+    placed = cut(groups.deliver(parts, scratch_path(spark, "splits"), ties=ties)[0])
+    return groups.one_side(parts[0].unionByName(parts[1]), placed)[0]
 
 
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of omni_corpus with its group and split; records of a short sentence whose speaker lies on another side are in quarantine."""
+    """Every record of omni_corpus with its group and split after two deliveries; groups that the second joined across splits, and records of
+    a short sentence whose speaker lies on another side, are in quarantine."""
     return _placed(spark, sf_dir)
 
 

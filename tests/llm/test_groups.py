@@ -39,13 +39,13 @@ def test_ties_against_brute_force(spark):
         data = data_of(random.Random(seed), 120, sentences=25)
         want = brute(data)
         big = {r for r in want.values() if sum(v == r for v in want.values()) > 1}
-        got = {r["speaker_id"]: r["group_id"] for r in G.tied_speakers(rows_of(spark, data)).collect()}
+        got = {r["speaker_id"]: r["group_id"] for r in G.tied_speakers(G.update_components(rows_of(spark, data))).collect()}
         assert got == {s: r for s, r in want.items() if r in big}
 
 
 def test_hot_speaker_and_sentence(spark):
     data = [("hot", f"x{i}", 6) for i in range(300)] + [(f"s{i}", "shared", 6) for i in range(300)] + [("hot", "shared", 6)]
-    got = G.tied_speakers(rows_of(spark, data)).collect()
+    got = G.tied_speakers(G.update_components(rows_of(spark, data))).collect()
     assert len(got) == 301 and {r["group_id"] for r in got} == {"hot"}
 
 
@@ -121,10 +121,45 @@ def test_speakers_and_sentences_as_compared(spark):
     rows = G.utterance_speakers(records, utterances).collect()
     assert len(rows) == 5
     assert sorted((r["row_id"], r["speaker"], r["n_words"]) for r in rows) == [(1, "kik-1", 5), (2, "kik-2", 5), (3, None, 0), (4, None, 1), (5, "kik-1", 0)]
-    got = G.tied_speakers(G.utterance_speakers(records, utterances)).select(F.concat_ws("/", "speaker_id", "group_id")).collect()
+    assert G.clip_ties(records, utterances).count() == 0
+    got = G.tied_speakers(G.update_components(G.utterance_speakers(records, utterances))).select(F.concat_ws("/", "speaker_id", "group_id")).collect()
     assert sorted(r[0] for r in got) == ["kik-1/kik-1", "kik-2/kik-1"]
 
 
+def test_all_speakers_of_a_clip_are_tied(spark):
+    records = spark.createDataFrame([(1, 10, "moja mbili tatu nne tano"), (2, 20, "moja mbili tatu nne tano"), (3, 30, "sita")], "row_id long, clip_id long, text string")
+    utterances = spark.createDataFrame([(10, "b"), (10, "C "), (20, "d"), (30, "e"), (40, "f"), (40, "g")], "clip_id long, speaker_id string")
+    rows, ties = G.utterance_speakers(records, utterances), G.clip_ties(records, utterances)
+    assert rows.count() == 3 and [tuple(r) for r in ties.collect()] == [("c", "b")]
+    got = sorted(tuple(r) for r in G.tied_speakers(G.update_components(rows, ties=ties)).collect())
+    assert got == [("b", "b"), ("c", "b"), ("d", "b")]
+
+
+def test_deliveries_leave_the_same_ties_as_all_rows_at_once(spark, tmp_path):
+    data = data_of(random.Random(11), 150, sentences=30)
+    rows = rows_of(spark, data)
+    parts = [rows.where("row_id < 50"), rows.where("row_id >= 50 AND row_id < 90"), rows.where("row_id >= 90")]
+    got = {tuple(r) for r in G.tied_speakers(G.deliver_components(parts, str(tmp_path / "t"))).collect()}
+    assert got == {tuple(r) for r in G.tied_speakers(G.update_components(rows)).collect()} and len(got) > 5
+    assert (tmp_path / "t" / "v2").exists()
+
+
+def test_deliveries_keep_what_they_placed(spark, tmp_path):
+    data = data_of(random.Random(5), 1500, speakers=300, sentences=300, tie=0.05)
+    rows = rows_of(spark, data)
+    parts = [rows.where("row_id < 800"), rows.where("row_id >= 800")]
+    placed, table = G.deliver(parts, str(tmp_path / "d"))
+    side = {r["row_id"]: r["split"] for r in placed.collect()}
+    was = {r["node"]: r["split"] for r in spark.read.parquet(str(tmp_path / "d" / "v0")).collect()}
+    now = {r["node"]: r["split"] for r in table.collect()}
+    assert set(side) == set(range(1500)) and set(was) <= set(now) and all(now[n] in (was[n], "quarantine") for n in was)
+    seen = {}
+    for i, (s, k, n) in enumerate(data):
+        for node in ((("s", s),) if s else ()) + ((("t", k),) if n >= 5 else ()):
+            assert seen.setdefault(node, side[i]) == side[i]
+    assert {"train", "validation", "test"} <= set(side.values())
+
+
 def test_short_sentences_lie_on_one_side(spark):
     rng = random.Random(3)
     data = [(f"s{i % 80:02}", f"own{i}", 6) for i in range(400)] + [(rng.choice([None, *(f"s{i:02}" for i in range(80))]), rng.choice(["yes", "no", "so"]), 1) for _ in range(90)]
