@@ -54,7 +54,7 @@ def test_odd_rows(spark):
     for r in rows:
         got.setdefault(r["doc_id"], []).append(r["level"])
     assert got[1000] == got[1001] == got[1002] == [None] and got[1003][0] is not None and len(got[1004]) == 2
-    assert got[1005] == got[1006]
+    assert got[1005] == got[1006] and got[9] == [3.0] and all(got[i] == [g] for i, g in graded if i not in (7, 9))
 
 
 def test_without_grades_nothing_is_known(spark):
@@ -64,10 +64,28 @@ def test_without_grades_nothing_is_known(spark):
     assert R.demanding(df, none).collect() == []
 
 
+def test_rare_words_count_where_no_sentence_is_told(spark):
+    rng = random.Random(1)
+    common, rare = ["".join(rng.choice("bdgk") + rng.choice("aeiou") for _ in range(3)) for _ in range(8)], ["".join(rng.choice("mnpr") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    docs = [(i, " ".join(rng.choice(rare) if rng.random() < 0.1 * (i % 5) else rng.choice(common) for _ in range(60)), "swa") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1 + i % 5) for i in range(0, 400, 4)], "doc_id long, level int")
+    got = {r["doc_id"]: r["level"] for r in R.reading_levels(df, labels).collect()}
+    assert np.mean([abs(got[i] - (1 + i % 5)) for i in range(400) if i % 4]) < 0.6
+
+
+def test_whole_texts_tell_the_language():
+    text = "habari ya asubuhi " * 9_000
+    whole = R.trigram_counts(text + "zzzz")
+    assert whole.sum() == len(text) + 4 and (whole - R.trigram_counts(text)).clip(0).sum() >= 3
+    guess = R.LanguageGuess([(lang, int(g), int(n)) for lang, t in (("a", "habari ya"), ("b", "zzzz qqqq")) for g, n in enumerate(R.trigram_counts(t)) if n])
+    assert guess("habari") == "a" and guess("q " + "zzzz " * 40_000) == "b" and guess("") is None
+
+
 def test_measures_know_the_layout():
     body = ["Cat sat on the red mat.", "Dog ran to the big farm!"]
     for text in (" ".join(body), "\n".join(body), "1) " + "\n2) ".join(body), "A: " + "\nB: ".join(body), "[um] " + "\n\n".join(body), "cat sat on the red mat\ndog ran to the big farm"):
-        n, length, sentence = R.measure(text)
+        n, length, _, sentence = R.measure(text)
         assert n == 12 and np.isclose(np.exp(sentence) - 1, 6), text
-    assert R.measure("cat sat on the red mat dog ran")[2] is None
-    assert R.measure(None) == R.measure("") == R.measure("... 12") == (0, 0.0, None)
+    assert R.measure("cat sat on the red mat dog ran")[3] is None
+    assert R.measure(None) == R.measure("") == R.measure("... 12") == (0, 0.0, 0.0, None)
