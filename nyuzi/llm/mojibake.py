@@ -3,8 +3,8 @@
 Every distinct clean word of the corpus is put through every wrong-encoding chain; the garbled forms make a
 table that the corpus' own tokens are hash-joined against. Words that stand nowhere clean are covered by the
 same table at the grain of letters: the garbled forms of every distinct clean non-ASCII letter of the corpus and of
-the common European ones, at most as many as letters in Unicode, and a token is restored when the forms spell out its whole run of
-odd characters.
+the common European ones, at most as many as letters in Unicode. A token is restored from letters only when one chain makes all its garbled
+letters out of the ones put in their place; otherwise it is reported as lost.
 
 Defined results: null and empty texts are never garbled; a text with U+FFFD, or with question marks in place of
 letters inside its words, is garbled and lost there for good;
@@ -121,20 +121,23 @@ def _forms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"form": form, "original": original, "steps": pd.Series(steps, dtype="int32")})
 
 
+#: Words that one task makes forms of: about 17 forms each.
+WORDS_A_TASK = 4_000
+
+
 def garbled_table(clean: DataFrame) -> DataFrame:
-    """``form, original, steps`` of every distinct clean word (column ``core``) under all chains, one row a form."""
-    # a small table of words makes a large one of forms: spread before, by a fixed number that is not coalesced
-    parts = int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    forms = clean.repartition(parts, "core").mapInPandas(_forms_of, "form string, original string, steps int")
+    """``form, original, steps`` of every distinct clean word (column ``core``, checkpointed) under all chains, one row a form.
+
+    The forms are made once, spread over tasks by the number of words, and checkpointed: they are read twice.
+    """
+    # partitions in turn, not by key: those the planner takes for the ones of the words before and joins to few again
+    forms = cut(clean.repartition(max(1, -(-clean.count() // WORDS_A_TASK))).mapInPandas(_forms_of, "form string, original string, steps int"))
     # a garbled form may look like a word itself ("fĂŞte"): it is no original then
-    twice = clean.join(forms, clean["core"] == forms["form"], "left_semi").select(F.col("core").alias("original"))
+    twice = clean.join(forms.select("form"), clean["core"] == forms["form"], "left_semi").select(F.col("core").alias("original"))
     forms = forms.join(twice, "original", "left_anti")
     return forms.groupBy("form").agg(F.min(F.struct("steps", "original")).alias("m")).select("form", "m.original", "m.steps")
 
 
-_RUN = re.compile(r"[^\x00-\x7f]+")
-
-
 class LetterForms:
     """Garbled forms of single letters, and their use on the odd runs of a token."""
 
@@ -147,31 +150,29 @@ class LetterForms:
         self.forms = {f: o for f, (_, o) in best.items()}
         self.longest = max(map(len, self.forms), default=0)
 
-    def _run(self, run: str) -> tuple[str, bool]:
-        out, i, hit = [], 0, False
-        while i < len(run):
-            for n in range(min(self.longest, len(run) - i), 1, -1):
-                if (original := self.forms.get(run[i : i + n])) is not None:
-                    out.append(original)
-                    i, hit = i + n, True
+    def _spelled(self, token: str) -> tuple[str, list[tuple[str, str]]]:
+        """The token with the longest known forms put right, and each ``form, letter`` used."""
+        out, used, i = [], [], 0
+        while i < len(token):
+            for n in range(min(self.longest, len(token) - i), 1, -1):
+                if (letter := self.forms.get(token[i : i + n])) is not None:
+                    out.append(letter), used.append((token[i : i + n], letter))
+                    i += n
                     break
             else:
-                out.append(run[i])
+                out.append(token[i])
                 i += 1
-        return "".join(out), hit
-
-    def restore(self, token: str) -> str | None:
-        """The token with its garbled letters put right, or None if it has none."""
-        hit = False
+        return "".join(out), used
 
-        def one(m: re.Match) -> str:
-            nonlocal hit
-            fixed, found = self._run(m[0])
-            hit |= found
-            return fixed
+    def restore(self, token: str) -> tuple[str, bool] | None:
+        """The token with its garbled letters put right, and whether that is verified; None if it has none.
 
-        fixed = _RUN.sub(one, token)
-        return fixed if hit else None
+        Verified: one chain makes all its garbled letters out of the letters put in their place, so the way back is the way it came.
+        """
+        fixed, used = self._spelled(token)
+        if not used:
+            return None
+        return fixed, any(all(garble(letter, chain) == form for form, letter in used) for chain in CHAINS)
 
 
 def repair_table(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -189,7 +190,7 @@ def repair_table_of(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     is_clean = F.pandas_udf(lambda s: s.map(is_clean_word), T.BooleanType())
     distinct = cut(distinct.select("token", "core").withColumn("clean", is_clean("core")))
-    clean = distinct.where("clean").select("core").distinct()
+    clean = cut(distinct.where("clean").select("core").distinct())
     words = garbled_table(clean)
     lost = distinct.where(is_lost(F.col("token"))).select("token", F.lit(None).cast("string").alias("original"), F.lit(True).alias("lost"))
     rest = distinct.where(~is_lost(F.col("token")))
@@ -206,9 +207,9 @@ def repair_table_of(distinct: DataFrame) -> DataFrame:
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forms = LetterForms(known.value)
         for batch in batches:
-            fixed = [forms.restore(re.sub(_HIDDEN, "", t)) for t in batch["token"]]
-            out = pd.DataFrame({"token": batch["token"], "original": fixed, "lost": False})
-            yield out[out["original"].notna()]
+            found = [(t, forms.restore(re.sub(_HIDDEN, "", t))) for t in batch["token"]]
+            # what no one chain explains is reported, but not put in the text
+            yield pd.DataFrame([(t, r[0] if r[1] else None, not r[1]) for t, r in found if r], columns=["token", "original", "lost"])
 
     by_letter = joined.where(F.col("original").isNull()).select("token").mapInPandas(spell, "token string, original string, lost boolean")
     return by_word.unionByName(by_letter).unionByName(lost)

@@ -54,7 +54,7 @@ def _deliveries(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], Data
     at = F.col("written_at").cast("timestamp")
     t = omni.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
     early = F.coalesce(at < F.lit(t["low"] + (t["high"] - t["low"]) / 2), F.lit(False)) if t["low"] else F.lit(False)
-    return [cut(groups.utterance_speakers(omni.where(part), said)) for part in (early, ~early)], cut(groups.clip_ties(omni, said))
+    return [groups.utterance_speakers(omni.where(part), said) for part in (early, ~early)], groups.clip_ties(omni, said)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, ties = _deliveries(spark, sf_dir)
+    parts = [cut(part) for part in parts]
     placed = cut(groups.deliver(parts, scratch_path(spark, "splits"), ties=ties)[0])
     return groups.one_side(parts[0].unionByName(parts[1]), placed)[0]
 

@@ -28,6 +28,11 @@ def test_words_that_stand_nowhere_clean(spark):
     assert {k: v[0] for k, v in got.items()} == {0: "señal x", 1: "Zoë y", 2: "fête", 3: "fête", 4: "Zoë", 6: "ũtũkũ"}
 
 
+def test_letters_of_no_one_chain_are_reported_but_not_put_in(spark):
+    mixed = M.garble("ũ", ("cp1252",)) + M.garble("ĩ", ("mac_roman",)) + "xyz"
+    assert restored(spark, [mixed, M.garble("ũĩxyz", ("cp850",))]) == {0: (mixed, False), 1: ("ũĩxyz", True)}
+
+
 def test_decoys_stay(spark):
     assert restored(spark, ["Ätosh Ãro Ålvor pâlé Ñuma", "© 2019 30 °C €40", "жолдарың λόγιψη", "«ála» — “x” …y", "", None, "plain", "Ålvor"]) == {}
 
