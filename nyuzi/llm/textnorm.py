@@ -22,19 +22,24 @@ GREEK_AS_LATIN = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "ό": "ó", "ί": "í", "ά": "á", "ϲ": "c", "ϳ": "j",
 }
+ARMENIAN_AS_LATIN = {"օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j", "Օ": "O", "Ս": "U", "Տ": "S"}
+CHEROKEE_AS_LATIN = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S",
+    "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+}
 # Latin letters that differ from the ASCII letter in code point only.
 LATIN_AS_ASCII = {"ɡ": "g", "ɑ": "a", "ı": "i", "ſ": "s", "ⅼ": "l", "ꓲ": "I"}
 # Signs written in place of the ASCII apostrophe, hyphen and full stops.
 APOSTROPHES = "’‘‛ʼʻʽˈˊʹꞌꞋ′‵`´＇՚ʾʿ"
 HYPHENS = "‐‑⁃˗"
-CROSS_SCRIPT = CYRILLIC_AS_LATIN | GREEK_AS_LATIN
+CROSS_SCRIPT = CYRILLIC_AS_LATIN | GREEK_AS_LATIN | ARMENIAN_AS_LATIN | CHEROKEE_AS_LATIN
 
 _SPACES = "".join(chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 _INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x180F), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0]
 _TAG = re.compile(r"\[[^\[\]]*\]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏɐ-ʯḀ-ỿ]")
 _CROSS = str.maketrans({**CROSS_SCRIPT, **LATIN_AS_ASCII})
-_OTHER_SCRIPT = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ]")
+_OTHER_SCRIPT = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯԱ-֏Ꭰ-ᏽ]")
 _ASCII_DROP = re.compile(r"[^a-z0-9 \t\r\n\x0b\x0c]+")
 _DROP = regex.compile(r"[^\p{L}\p{M}\p{N} \t\r\n\x0b\x0c]+")
 # invisible characters and apostrophes go, spaces of any kind become blanks, Latin look-alikes become ASCII

@@ -15,8 +15,12 @@ CASES = {
     "mер ρuρo tаɡi": "mep pupo tagi",
     "３０ °C": "30 °C",
     "ﬁle": "file",
+    "ｱｶﾞ ㎏ ﷺ": "アガ kg صلى الله عليه وسلم",
+    "ĳs Ǆ ŉa ⑴ ①⑩ ㏇ 1⁄2": "ijs DŽ 'na (1) 110 Co. 1/2",
+    "१२ ٣": "12 3",
+    "pսre Ꮓoo": "pure Zoo",
 }
-CLEAN = ["жолдарың λόγιψη", "“sawa” «dala» — – © € °", "Awɔ́rɔ́ ok", "two  blanks ", "", None, "Zoë fête", "a\nb"]
+CLEAN = ["жолдарың λόγιψη", "“sawa” «dala» — – © € °", "Awɔ́rɔ́ ok", "two  blanks ", "", None, "Zoë fête", "a\nb", "½ ² ª … µ № ™", "ກຳ նաև", "ϑ ㄱ"]
 
 
 def run(spark, texts):
@@ -35,6 +39,10 @@ def test_long_and_repeated_texts(spark):
     assert got == [("a b" * 200_000, True), ("x", True), ("x", True), ("plain" * 200_000, False)]
 
 
+def test_every_form_settles():
+    assert len(U.FORMS) > 3000 and all(unicodedata.normalize("NFC", U.FORMS.get(c, c)) == c for f in U.FORMS.values() for c in unicodedata.normalize("NFC", f) if c not in U.FORMS)
+
+
 def test_null_keys(spark):
     df = spark.createDataFrame([(None, "ａ"), (None, None)], "row_id long, text string")
     assert sorted((r["clean_text"] or "", r["changed"]) for r in U.unify(df, ["row_id"]).collect()) == [("", False), ("a", True)]
