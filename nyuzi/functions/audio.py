@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from nyuzi.functions import wav
 
-#: Sampling rate of recognizers, shortest and longest whole clip and length of a slice, in samples.
+# Sampling rate of recognizers, shortest and longest whole clip and length of a slice, in samples.
 RATE, SHORTEST, LONGEST, SLICE = 16_000, 32_000, 632_000, 560_000
 
 
@@ -80,6 +81,12 @@ def read_header(b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["ok", "rate", "frames", "error"]).astype({"rate": "Int32", "frames": "Int64"})
 
 
+@F.pandas_udf(T.BooleanType())
+def read_wav_header(b: pd.Series) -> pd.Series:
+    """Whether :func:`waveform` can read a payload, from its header alone."""
+    return b.map(lambda x: wav.header(wav.sniff(x)) is not None).astype(bool)
+
+
 def chunk_count(n: Column) -> Column:
     """Slices of a clip of ``n`` samples: the whole up to ``LONGEST``, else consecutive slices, the last one shorter."""
     return F.when(n <= LONGEST, 1).otherwise(F.ceil(n / SLICE)).cast("int")
@@ -105,10 +112,9 @@ def resample(x: np.ndarray, rate: int, target: int = RATE) -> np.ndarray:
     return (np.fft.irfft(spectrum[: new // 2 + 1], new) * (new / size))[: round(len(x) * target / rate)]
 
 
-def slices(x: np.ndarray) -> list[np.ndarray]:
-    if len(x) < SHORTEST:
-        return [np.concatenate([x, np.zeros(SHORTEST - len(x), x.dtype)])]
-    return [x] if len(x) <= LONGEST else [x[i : i + SLICE] for i in range(0, len(x), SLICE)]
+def slice_bounds(n: int) -> np.ndarray:
+    """Where the slices of a clip of ``n`` samples begin, and the end of the last one; as :func:`chunk_count` counts them."""
+    return np.array([0, n]) if n <= LONGEST else np.append(np.arange(0, n, SLICE), n)
 
 
 def waveform(payload: bytes | None, target: int = RATE) -> np.ndarray | None:
@@ -122,27 +128,35 @@ def waveform(payload: bytes | None, target: int = RATE) -> np.ndarray | None:
     return resample(x / scale, info.rate, target).astype(np.float32)
 
 
-def transcribe(df: DataFrame, keys: list[str], audio: str, model, placeholder: str = ".", load=None) -> DataFrame:
+def transcribe(df: DataFrame, keys: list[str], audio: str, model, placeholder: str = ".", load=None, together: int = 8) -> DataFrame:
     """``keys, transcription``: every row in, every row out, whatever fails.
 
-    ``model(list of waveforms) -> list of texts`` is the user's; ``load``, if given, makes it once a task. The slices of a row are
-    joined with a blank in their order; unreadable audio and empty output give the placeholder.
+    ``model(list of waveforms) -> list of texts`` is the user's; ``load``, if given, makes it once a task. It gets at most ``together`` slices at a time,
+    so no more than those are held as waveforms. The texts of a row's slices are joined with a blank in their order; unreadable audio and empty
+    output give the placeholder.
     """
     source = df.select(*keys, audio)
     schema = T.StructType([source.schema[k] for k in keys] + [T.StructField("transcription", T.StringType())])
 
+    def waves(payloads: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        for row, payload in enumerate(payloads):
+            wave = waveform(payload.as_py())
+            if wave is not None:
+                bounds = slice_bounds(len(wave))
+                for begin, end in zip(bounds[:-1], bounds[1:]):
+                    piece = wave[begin:end]
+                    yield row, piece if len(wave) >= SHORTEST else np.pad(piece, (0, SHORTEST - len(piece)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = load() if load else model
         for b in batches:
-            chunks, owner = [], []
-            for i, x in enumerate(b.column(b.schema.get_field_index(audio))):
-                w = waveform(x.as_py())
-                for c in slices(w) if w is not None else ():
-                    chunks.append(c), owner.append(i)
-            texts: list[list[str]] = [[] for _ in range(b.num_rows)]
-            for i, t in zip(owner, call(chunks) if chunks else []):
-                texts[i].append(t)
-            out = [" ".join(" ".join(t).split()) or placeholder for t in texts]
+            heard = [""] * b.num_rows
+            stream = waves(b.column(b.schema.get_field_index(audio)))
+            while some := list(itertools.islice(stream, together)):
+                rows, pieces = zip(*some)
+                for row, text in zip(rows, call(list(pieces))):
+                    heard[row] += " " + text
+            out = [" ".join(t.split()) or placeholder for t in heard]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keys), pa.array(out, pa.string())], names=[*keys, "transcription"])
 
     return source.mapInArrow(run, schema)

@@ -29,11 +29,22 @@ def crc8(data: bytes) -> int:
     return c
 
 
+#: Remainders of each byte by its distance from the end, made as far as a frame has needed.
+_crc16_from_end = np.array([_CRC16], np.uint16)
+
+
 def crc16(data: bytes) -> int:
-    c = 0
-    for b in data:
-        c = ((c << 8) & 0xFFFF) ^ _CRC16[(c >> 8) ^ b]
-    return c
+    """The remainder of all bytes together: those of single bytes, each as far from the end as it stands, add up."""
+    global _crc16_from_end
+    n = len(data)
+    if n > len(_crc16_from_end):
+        rows, table = [_crc16_from_end], np.array(_CRC16, np.uint16)
+        last = _crc16_from_end[-1]
+        for _ in range(n - len(_crc16_from_end)):
+            last = (last << np.uint16(8)) ^ table[last >> np.uint16(8)]
+            rows.append(last[None, :])
+        _crc16_from_end = np.concatenate(rows)
+    return int(np.bitwise_xor.reduce(_crc16_from_end[np.arange(n - 1, -1, -1), np.frombuffer(data, np.uint8)])) if n else 0
 
 
 def _number(n: int) -> bytes:

@@ -82,8 +82,12 @@ def clean_prediction(t: Column, mode: str = "intended") -> Column:
 
 
 def _symbols(tokens: Column, vocabulary: Column) -> Column:
-    """Tokens as one character each, by their place in a vocabulary; room for 20,000 different tokens."""
-    one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0x4E00), 4, "0")), "UTF-16BE")
+    """Tokens as one code point each, by their place in a vocabulary; surrogates are passed over, so there is room for over a million different tokens."""
+
+    def one(w):
+        place = F.array_position(vocabulary, w) + 0x4E00
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(place < 0xD800, place).otherwise(place + 0x800)), 8, "0")), "UTF-32")
+
     return F.array_join(F.transform(tokens, one), "")
 
 

@@ -13,6 +13,10 @@ import numpy as np
 OPEN_SIZES = (0xFFFFFFFF, 0x7FFFFFFF, 0x7FFFF000)
 
 
+# Bits of a sample by format, 1 for whole numbers and 3 for floating point.
+WIDTHS = {1: (8, 16, 24, 32), 3: (32, 64)}
+
+
 class WavInfo(NamedTuple):
     rate: int
     channels: int
@@ -61,7 +65,7 @@ def header(raw: bytes | None) -> WavInfo | None:
             kind, channels, rate, _, _, bits = struct.unpack(end + "HHIIHH", raw[body : body + 16])
             if kind == 0xFFFE and size >= 26 and body + 26 <= len(raw):
                 kind = struct.unpack(end + "H", raw[body + 24 : body + 26])[0]
-            if not channels or bits not in (8, 16, 24, 32) or kind not in (1, 3):
+            if not channels or bits not in WIDTHS.get(kind, ()):
                 return None
             form = (rate, channels, bits, kind)
         elif name == b"data":
@@ -76,22 +80,23 @@ def header(raw: bytes | None) -> WavInfo | None:
 
 
 def samples(raw: bytes, info: WavInfo, big: bool = False) -> np.ndarray:
-    """Frames of the data chunk as float64, channels averaged; 8 bits are unsigned around 128."""
+    """Frames of the data chunk, channels averaged; 8 bits are unsigned around 128. Up to 16 bits in float32, which holds them exactly, else in float64."""
     width = info.bits // 8
     n = info.frames * info.channels
     buf = raw[info.start : info.start + n * width]
     order = ">" if raw[:4] == b"RIFX" or big else "<"
     if info.kind == 3:
-        x = np.frombuffer(buf, order + "f4").astype(np.float64)
+        x = np.frombuffer(buf, f"{order}f{width}").astype(np.float64)
     elif width == 1:
-        x = np.frombuffer(buf, np.uint8).astype(np.float64) - 128
+        x = np.frombuffer(buf, np.uint8).astype(np.float32)
+        x -= 128
     elif width == 3:
         b = np.frombuffer(buf, np.uint8).reshape(-1, 3).astype(np.int32)
         b = b[:, ::-1] if order == ">" else b
         x = ((b[:, 0] | (b[:, 1] << 8) | (b[:, 2] << 16)) << 8 >> 8).astype(np.float64)
     else:
-        x = np.frombuffer(buf, f"{order}i{width}").astype(np.float64)
-    return x.reshape(-1, info.channels).mean(axis=1) if info.channels > 1 else x
+        x = np.frombuffer(buf, f"{order}i{width}").astype(np.float32 if width == 2 else np.float64)
+    return x.reshape(-1, info.channels).mean(axis=1, dtype=np.float64) if info.channels > 1 else x
 
 
 def write(rate: int, channels: int, bits: int, data: bytes, kind: int = 1) -> bytes:

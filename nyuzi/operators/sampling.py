@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nyuzi.session import cut
+
 
 def numbered(df: DataFrame, group: str, order: str, out: str, width: int = 1 << 20) -> DataFrame:
     """``out``: the number of rows before each row of its group in the order of an integer column.
@@ -70,3 +72,16 @@ def budget_batches(df: DataFrame, group: str, order: str, amount: str, budget: i
     within = F.coalesce(F.sum(amount).over(Window.partitionBy(group, "_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = ranged.withColumn("_w", within).join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("_q")), "left")
     return joined.withColumn("batch_no", F.floor((F.col("_w") + F.col("_b")) / budget).cast("bigint")).drop("_r", "_w", "_g", "_q", "_b")
+
+
+def running_total(df: DataFrame, group: str, order: str, amount: str, out: str) -> DataFrame:
+    """``out``: the sum of ``amount`` over the rows before each row of its group, in the order of a column of any kind; rows of equal order in any order.
+
+    Rows are sorted into ranges of group and order, as many as the session has shuffle partitions; ranges are added up first, then each within.
+    """
+    ranged = cut(df.repartitionByRange(group, order).withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy(group, "_p").agg(F.sum(amount).alias("_n"))
+    before = sums.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    within = F.coalesce(F.sum(amount).over(Window.partitionBy(group, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = ranged.withColumn("_w", within).join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")), "left")
+    return joined.withColumn(out, F.col("_w") + F.col("_b")).drop("_p", "_w", "_g", "_q", "_b")

@@ -52,26 +52,39 @@ def tag_impact(pairs: DataFrame, group: str, ref: str, hyp: str) -> DataFrame:
 
 
 def word_diff(pairs: DataFrame, keys: list[str], ref: str, hyp: str) -> DataFrame:
-    """``keys, op_no, op, ref_words, hyp_words``: what the lower-cased texts do not share, in difflib's opcodes."""
+    """``keys, diff_no, ref_at, hyp_at, ref_words, hyp_words``: every stretch that the lower-cased texts do not share, numbered within its row.
+
+    ``ref_at`` and ``hyp_at`` count the words before it; an empty array on one side is an insertion or a deletion. Which words are shared
+    is settled by the longest common runs first. Rows whose texts do not differ, or lack one of them, have no stretch.
+    """
     import difflib
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
     from pyspark.sql import types as T
 
     source = pairs.select(*keys, F.lower(ref).alias("_ref"), F.lower(hyp).alias("_hyp")).where("_ref <> _hyp")
-    schema = T.StructType([source.schema[k] for k in keys] + [T.StructField("op_no", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("op", "ref_words", "hyp_words"))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at, out = [], []
-            for i, (r, h) in enumerate(zip(b["_ref"], b["_hyp"])):
-                x, y = r.split(), h.split()
-                ops = (o for o in difflib.SequenceMatcher(None, x, y).get_opcodes() if o[0] != "equal")
-                for no, (tag, i1, i2, j1, j2) in enumerate(ops):
-                    at.append(i), out.append((no, tag, " ".join(x[i1:i2]) or "-", " ".join(y[j1:j2]) or "-"))
-            done = b[keys].iloc[at].reset_index(drop=True)
-            done[["op_no", "op", "ref_words", "hyp_words"]] = pd.DataFrame(out, columns=["op_no", "op", "ref_words", "hyp_words"])
-            yield done.astype({"op_no": "int32"})
-
-    return source.mapInPandas(run, schema)
+    words = T.ArrayType(T.StringType())
+    schema = T.StructType([source.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("diff_no", "ref_at", "hyp_at")] + [T.StructField(c, words) for c in ("ref_words", "hyp_words")])
+
+    def stretches(a: list[str], b: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """What lies between the blocks both share."""
+        i = j = 0
+        for block in difflib.SequenceMatcher(None, a, b).get_matching_blocks():
+            if block.a > i or block.b > j:
+                yield i, block.a, j, block.b
+            i, j = block.a + block.size, block.b + block.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, columns = [], [[], [], [], [], []]
+            for at, (x, y) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
+                a, b = x.split(), y.split()
+                for no, (i, k, j, m) in enumerate(stretches(a, b)):
+                    row.append(at)
+                    for column, value in zip(columns, (no, i, j, a[i:k], b[j:m])):
+                        column.append(value)
+            kinds = [pa.int32()] * 3 + [pa.list_(pa.string())] * 2
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int64())) for c in batch.columns[: len(keys)]), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
+
+    return source.mapInArrow(run, schema)

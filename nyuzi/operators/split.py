@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN_SPEAKER = "__unknown__"
+# Share of the rows, least speakers and seed of the dev split.
 DEV_SHARE, LEAST_SPEAKERS, SEED = 0.10, 12, "42"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nyuzi.functions import audio, paths
 from nyuzi.functions import text as X
 from nyuzi.operators import convert, mixing, sampling, split
+from nyuzi.plans.audio_sql import headers
 from nyuzi.session import scratch_path, table
 from nyuzi.sources import adapters, readers, sinks
 
@@ -56,7 +57,7 @@ def q03_speaker_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HIST = "SELECT language, coalesce(nullif(speaker_id, ''), '__unknown__') AS speaker, count(*) AS n FROM utterances GROUP BY ALL"
-_ASSIGNED = f"""SELECT language, speaker, n,
+ASSIGNED_SQL = f"""SELECT language, speaker, n,
   coalesce(sum(n) OVER (PARTITION BY language ORDER BY md5(speaker || '42'), speaker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
     < 0.1::DOUBLE * sum(n) OVER (PARTITION BY language)
   OR row_number() OVER (PARTITION BY language ORDER BY md5(speaker || '42'), speaker) <= 12 AS is_dev FROM ({_HIST})"""
@@ -69,16 +70,15 @@ def q04_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q04 = f"""SELECT language, sum(n)::BIGINT AS total_rows, count(*) AS speakers, count(*) FILTER (WHERE is_dev) AS dev_speakers,
   coalesce(sum(n) FILTER (WHERE is_dev), 0)::BIGINT AS dev_rows, round(coalesce(sum(n) FILTER (WHERE is_dev), 0) / sum(n), 9) AS dev_share
-FROM ({_ASSIGNED}) GROUP BY language"""
+FROM ({ASSIGNED_SQL}) GROUP BY language"""
 
 
 def q05_dev_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sorted list of dev speakers of each language."""
-    dev = split.dev_speakers(_histogram(spark, sf_dir)).where("is_dev")
-    return dev.groupBy("language").agg(F.count_distinct("speaker").alias("n_speakers"), F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("dev_speakers"))
+    """The dev speakers of each language, sorted, a row each: a language may have any number."""
+    return split.dev_speakers(_histogram(spark, sf_dir)).where("is_dev").select("language", "speaker").orderBy("language", "speaker")
 
 
-Q05 = f"SELECT language, count(DISTINCT speaker) AS n_speakers, string_agg(speaker, ',' ORDER BY speaker) AS dev_speakers FROM ({_ASSIGNED}) WHERE is_dev GROUP BY language"
+Q05 = f"SELECT language, speaker FROM ({ASSIGNED_SQL}) WHERE is_dev ORDER BY language, speaker"
 
 
 def q06_routed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def q06_routed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("language", "routed").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("speaker_id").alias("n_speakers"))
 
 
-Q06 = f"""WITH a AS ({_ASSIGNED})
+Q06 = f"""WITH a AS ({ASSIGNED_SQL})
 SELECT u.language, CASE WHEN a.is_dev THEN 'dev' ELSE 'train' END AS routed, count(*) AS n_rows, count(DISTINCT speaker_id) AS n_speakers
 FROM utterances u JOIN a ON u.language = a.language AND coalesce(nullif(u.speaker_id, ''), '__unknown__') = a.speaker
 WHERE text IS NOT NULL AND length(text) > 0 GROUP BY ALL"""
@@ -102,7 +102,7 @@ def q07_split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("dev").intersect(side("train")).agg(F.count(F.lit(1)).alias("n_overlap"))
 
 
-Q07 = f"""WITH a AS ({_ASSIGNED}), r AS (SELECT u.language, a.speaker, a.is_dev FROM utterances u JOIN a
+Q07 = f"""WITH a AS ({ASSIGNED_SQL}), r AS (SELECT u.language, a.speaker, a.is_dev FROM utterances u JOIN a
   ON u.language = a.language AND coalesce(nullif(u.speaker_id, ''), '__unknown__') = a.speaker)
 SELECT count(*) AS n_overlap FROM (SELECT language, speaker FROM r WHERE is_dev INTERSECT SELECT language, speaker FROM r WHERE NOT is_dev)"""
 
@@ -301,8 +301,8 @@ Q27 = """SELECT src_file, batch_no, count(*) AS n_rows, min(row_id) AS first_row
 def q27_running_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative hours of the progress log in the order of its units."""
     log = table(spark, sf_dir, "progress_log").groupBy("src").agg(F.coalesce(F.max("hours"), F.lit(0.0)).alias("hours"))
-    order = Window.partitionBy(paths.top_directory(F.col("src"))).orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("src", F.round("hours", 6).alias("hours"), F.round(F.sum("hours").over(order), 6).alias("cum_hours"))
+    rows = sampling.running_total(log.withColumn("dir", paths.top_directory(F.col("src"))), "dir", "src", "hours", "before")
+    return rows.select("src", F.round("hours", 6).alias("hours"), F.round(F.col("before") + F.col("hours"), 6).alias("cum_hours"))
 
 
 Q27B = """SELECT src, round(hours, 6) AS hours, round(sum(hours) OVER (PARTITION BY split_part(src, '/', 1) ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cum_hours
@@ -355,6 +355,10 @@ def q31_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("language", "h.ok", "h.error").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("h.frames").alias("n_samples"), F.count_if(F.col("h.frames") != F.col("audio_size")).alias("n_wrong_size"))
 
 
+Q31B = headers("omni_corpus", "audio_bytes", "language, audio_size") + """SELECT language, ok, error, count(*) AS n_rows, sum(frames)::BIGINT AS n_samples, count(*) FILTER (WHERE frames <> audio_size) AS n_wrong_size
+FROM wavs GROUP BY ALL"""
+
+
 def q31_flac_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours of the converted utterances from their FLAC headers, inside code generation."""
     b = F.col("audio_flac")
@@ -384,6 +388,10 @@ def q38_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.unit_summary(convert.convert(clips, ["src_file"], "payload"), "src_file")
 
 
+Q38 = headers("raw_clips", "audio.bytes", "src_file") + """SELECT src_file, count(*) AS n_rows, count(*) FILTER (WHERE is_wav) AS n_kept, count(*) FILTER (WHERE NOT is_wav) AS n_skipped,
+  round(coalesce(sum(n16), 0) / 16000 / 3600, 9) AS hours FROM wavs GROUP BY src_file"""
+
+
 def q39_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All utterances in a seeded order, by position."""
     u = _utterances(spark, sf_dir).select("language", "utt_id")
@@ -405,5 +413,5 @@ ORACLES = {
     "q01_hours_by_language": Q01, "q02_largest_directories": Q02, "q03_speaker_histogram": _HIST, "q04_split_summary": Q04, "q05_dev_speakers": Q05, "q06_routed_counts": Q06,
     "q07_split_overlap": Q07, "q08_reject_reasons": Q08, "q09_pending": Q09, "q10_manifest_match": Q10, "q11_pooled_sources": Q11, "q12_column_fallback": Q12, "q13_double_encoding": Q13,
     "q14_normalized_tokens": Q14, "q15_tag_prevalence": Q15, "q20_stride_sample": Q20, "q21_examples": Q21, "q22_mixture_weights": Q22, "q25_chunk_plan": Q25, "q26_ordered_regroup": Q26,
-    "q27_batches": Q27, "q27_running_hours": Q27B, "q28_budget_batches": Q28, "q29_paths": Q29, "q31_payload_kinds": Q31, "q31_flac_hours": Q31C, "q35_partitioned_round_trip": Q35, "q39_shuffled": Q39,
+    "q27_batches": Q27, "q27_running_hours": Q27B, "q28_budget_batches": Q28, "q29_paths": Q29, "q31_payload_kinds": Q31, "q31_headers": Q31B, "q31_flac_hours": Q31C, "q38_convert": Q38, "q35_partitioned_round_trip": Q35, "q39_shuffled": Q39,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nyuzi.functions import audio
 from nyuzi.functions import text as X
 from nyuzi.operators import mixing, scoring
+from nyuzi.plans.audio_sql import headers
 from nyuzi.plans.corpus import sql_collapse, sql_normalize, sql_words
 from nyuzi.session import scratch_path, table
 from nyuzi.streaming import ingest
@@ -147,6 +148,10 @@ def q37_transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.transcribe(table(spark, sf_dir, "omni_corpus"), ["row_id", "language"], "audio_bytes", lambda chunks: [f"{len(c)} samples" for c in chunks])
 
 
+_PIECES = "array_to_string(list_transform(range(ceil(n16 / 560000)::BIGINT), lambda i: least(560000, n16 - i * 560000) || ' samples'), ' ')"
+Q37 = headers("omni_corpus", "audio_bytes", "row_id, language") + f"""SELECT row_id, language,
+  CASE WHEN NOT is_wav THEN '.' WHEN n16 < 32000 THEN '32000 samples' WHEN n16 <= 632000 THEN n16 || ' samples' ELSE {_PIECES} END AS transcription FROM wavs"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -155,5 +160,5 @@ QUERIES = {
 }
 ORACLES = {
     "q16_row_edits": Q16, "q17_error_rates": Q17, "q18_macro_mean": Q18, "q19_tag_impact": Q19, "q23_latency": Q23, "q24_vector_means": Q24, "q30_json": Q30, "q32_submission": Q32,
-    "q36_stream_ingest": Q36,
+    "q36_stream_ingest": Q36, "q37_transcribe": Q37,
 }

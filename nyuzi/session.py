@@ -57,14 +57,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Arrow batches of at most ``rows`` rows from here on: for tables whose rows are heavy, such as audio. Never raises a smaller setting."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
-
-
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors' Python, unless they find it on their path already."""
     root = Path(__file__).resolve().parents[1]

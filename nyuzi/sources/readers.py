@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nyuzi.functions import paths
+from nyuzi.operators import mixing
 
 MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("audio_filepath", "transcription", "voice_creator_id", "speaker_id")])
 PROGRESS = T.StructType([T.StructField("src", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("hours", T.DoubleType())])
@@ -79,9 +80,10 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     for b in batches:
-        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+        for path in b.column(0).to_pylist():
             rows, weight = [], 0
-            with tarfile.open(fileobj=io.BytesIO(content.as_buffer()), mode="r|*") as tar:  # one pass: xz streams cannot be sought
+            # one pass over the file as it is read: xz streams cannot be sought, and no archive is held in memory
+            with fs.FileSystem.from_uri(path)[0].open_input_stream(fs.FileSystem.from_uri(path)[1], compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
                 for m in tar:
                     if not m.isfile():
                         continue
@@ -96,22 +98,32 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def archive_members(spark: SparkSession, path: str, glob: str = "*.tar*") -> DataFrame:
-    """``archive, member_path, basename, content`` of all files inside tar archives, compressed in any way.
+    """``archive, member_path, basename, content`` of all files inside tar archives, compressed in any way and of any size.
 
-    An archive is one task, as its stream cannot be split, and goes through in one sequential pass.
+    Spark lists the archives; each is read by one task, as its stream cannot be split, in one sequential pass through Arrow's file systems, a member
+    at a time.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(_members, "archive string, member_path string, basename string, content binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path")
+    # a task an archive, of the listing alone: contents are not in it
+    return files.repartition("path").mapInArrow(_members, "archive string, member_path string, basename string, content binary")
 
 
 def with_members(records: DataFrame, members: DataFrame, path: str = "audio_filepath") -> DataFrame:
     """Manifest records with the archive member of the same base name; of several the first by path counts.
 
-    The join carries paths only; contents are attached last.
+    Archives are unpacked once: base names meet their members, and a window keeps the first of each record's.
     """
-    chosen = members.groupBy("basename").agg(F.min(F.struct("archive", "member_path")).alias("m")).select("basename", "m.archive", "m.member_path")
+    chosen = members.groupBy("basename").agg(F.min_by(F.struct("archive", "member_path", "content"), F.struct("archive", "member_path")).alias("m")).select("basename", "m.*")
     keyed = records.where(F.col(path).isNotNull() & (F.col(path) != "")).withColumn("basename", paths.basename(F.col(path)))
-    return keyed.join(chosen, "basename").join(members.drop("basename"), ["archive", "member_path"])
+    return keyed.join(chosen, "basename")
+
+
+def with_archived(records: DataFrame, members: DataFrame, path: str = "audio_filepath") -> DataFrame:
+    """Records of ``category, split, chunk`` with their member of the archive ``category_split_chunk.tar*``."""
+    name = F.regexp_replace(paths.basename(F.col("archive")), r"\.tar.*$", "")
+    held = members.withColumn("_a", name)
+    keyed = records.withColumn("basename", paths.basename(F.col(path))).withColumn("_a", F.concat_ws("_", "category", "split", "chunk"))
+    return keyed.join(held, ["_a", "basename"]).drop("_a")
 
 
 def unmatched(records: DataFrame, members: DataFrame, path: str = "audio_filepath") -> DataFrame:
@@ -129,3 +141,13 @@ def pending(everything: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def states(spark: SparkSession, path: str) -> DataFrame:
     """Model states as :func:`nyuzi.sources.sinks.states` writes them."""
     return spark.read.option("basePath", path).parquet(path)
+
+
+def averaged(spark: SparkSession, path: str) -> DataFrame:
+    """``key, values``: the mean of the states at a path over their checkpoints."""
+    return mixing.average_states(states(spark, path))
+
+
+def row_counts(spark: SparkSession, *path: str) -> DataFrame:
+    """``file, n_rows`` of Parquet paths or globs; as no column is asked for, only footers are read."""
+    return spark.read.parquet(*path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))

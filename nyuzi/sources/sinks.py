@@ -57,7 +57,7 @@ def states(df: DataFrame, path: str) -> None:
 
 
 def card(path: str, name: str, family: str, root: str, tokenizer: str) -> None:
-    """A small YAML descriptor of a dataset for a trainer."""
+    """A small YAML descriptor of a dataset for a trainer; its keys are fixed values of the trainer's format."""
     with open(path, "w", encoding="utf-8") as f:
         f.write(f"name: {name}\ndataset_family: {family}\ndataset_config:\n  data: {root}\ntokenizer_ref: {tokenizer}\n")
 
@@ -67,3 +67,8 @@ def report(df: DataFrame, digits: int = 4) -> list[str]:
     kinds = dict(df.dtypes)
     shown = df.select(*[F.format_number(c, digits).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("string").alias(c) for c in df.columns])
     return ["\t".join(df.columns)] + ["\t".join("-" if v is None else v for v in r) for r in shown.limit(1000).collect()]
+
+
+def csv_report(df: DataFrame, path: str) -> None:
+    """A report as CSV files, each with its header."""
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)

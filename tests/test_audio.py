@@ -69,7 +69,8 @@ def test_chunk_lengths(spark):
     got = spark.createDataFrame([(n,) for n in want], "n long").select("n", audio.chunk_count(F.col("n")).alias("k"), audio.chunk_lengths(F.col("n")).alias("c")).collect()
     assert {r["n"]: r["c"] for r in got} == want and all(r["k"] == len(r["c"]) for r in got)
     for n in want:
-        assert [len(c) for c in audio.slices(np.zeros(n, np.float32))] == want[n]
+        bounds = audio.slice_bounds(n)
+        assert [max(audio.SHORTEST, b - a) if n < audio.SHORTEST else b - a for a, b in zip(bounds[:-1], bounds[1:])] == want[n]
 
 
 def test_resample_keeps_a_tone():
@@ -107,3 +108,35 @@ def test_convert_loses_no_row(spark):
     assert sorted(tuple(r)[:4] for r in convert.unit_summary(out, "unit").collect()) == [("a", 3, 2, 1), ("b", 2, 0, 2)]
     other = convert.convert(df, ["unit"], "payload", decode=lambda b: 1 / 0).collect()
     assert {r["error"] for r in other} == {"ZeroDivisionError", "empty"}
+
+
+def test_model_gets_bounded_batches_in_order(spark):
+    df = spark.createDataFrame([(i, make([1] * (20_000 if i == 3 else 10))) for i in range(11)] + [(99, None)], "id long, audio binary").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(chunks):
+        assert len(chunks) <= 4
+        seen.add(1)
+        return [f"{len(c)}" for c in chunks]
+
+    got = {r["id"]: r["transcription"] for r in audio.transcribe(df, ["id"], "audio", model, together=4).collect()}
+    assert got == {i: "32000" for i in range(11) if i != 3} | {3: "560000 80000", 99: "."} and seen.value == 3
+
+
+def test_float_samples():
+    import struct
+
+    for bits, code in ((32, "f"), (64, "d")):
+        data = struct.pack(f"<3{code}", 0.5, -0.25, 1.0)
+        raw = wav.write(500, 1, bits, data, 3)
+        assert wav.samples(raw, wav.header(raw)).tolist() == [0.5, -0.25, 1.0]
+    assert wav.header(wav.write(500, 1, 16, b"\0" * 8, 3)) is None and wav.header(wav.write(500, 1, 64, b"\0" * 8, 1)) is None
+
+
+def test_crc_of_all_bytes_together():
+    for n in (0, 1, 2, 17, 300, 100):
+        data = bytes((7 * i + n) % 256 for i in range(n))
+        c = 0
+        for b in data:
+            c = ((c << 8) & 0xFFFF) ^ flac._CRC16[(c >> 8) ^ b]
+        assert flac.crc16(data) == c

@@ -4,7 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from nyuzi.functions import paths
-from nyuzi.operators import components, mixing, prefix, sampling, scoring, split
+from nyuzi.operators import mixing, sampling, scoring, split
 
 
 def dev_of(spark, counts):
@@ -54,29 +54,6 @@ def test_stride_sample(spark):
     assert len(sample(7, 0)) == 7
 
 
-def test_running_sums_and_numbers(spark):
-    rng = random.Random(2)
-    rows = [(rng.choice(["a", "b", None]), i, rng.randint(0, 9)) for i in range(400)]
-    df = spark.createDataFrame(rows, "g string, i long, n long")
-    got = prefix.running_sum(df, ["g"], F.col("i"), "n", "at", buckets=8).collect()
-    assert len(got) == 400
-    for g in ("a", "b", None):
-        mine = sorted((r["at"], r["n"]) for r in got if r["g"] == g)
-        starts = {at for at, _ in mine}
-        assert 0 in starts and max(at + n for at, n in mine) == sum(n for _, n in mine)
-    numbered = sampling.numbered(df, "g", "i", "k", width=50).collect()
-    for g in ("a", "b", None):
-        assert [r["k"] for r in sorted((r for r in numbered if r["g"] == g), key=lambda r: r["i"])] == list(range(sum(x[0] == g for x in rows)))
-
-
-def test_components(spark):
-    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)]
-    links = chain + [("x", "y"), ("y", "x"), ("z", "z"), (None, "x"), ("q", "p"), ("p", "r")]
-    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a string, b string")).collect()}
-    assert got == {f"n{i:03}": "n000" for i in range(61)} | {"x": "x", "y": "x", "p": "p", "q": "p", "r": "p"}
-    assert components.connected_components(spark.createDataFrame([], "a string, b string")).collect() == []
-
-
 def test_error_rates_are_corpus_rates(spark):
     pairs = spark.createDataFrame([("l", "a b c", "a x c"), ("l", "d", "d e f"), ("m", "", "a")], "g string, ref string, hyp string")
     got = {r["g"]: r["raw_wer"] for r in scoring.error_rates(pairs, "g", "ref", "hyp").collect()}
@@ -87,9 +64,27 @@ def test_error_rates_are_corpus_rates(spark):
 
 
 def test_word_diff(spark):
-    pairs = spark.createDataFrame([(1, "a b c", "a x c d"), (2, "same", "Same")], "id int, ref string, hyp string")
+    pairs = spark.createDataFrame([(1, "a b c", "a x c d"), (2, "same", "Same"), (3, "x y", ""), (4, None, "z"), (4, "z", "z z")], "id int, ref string, hyp string")
     got = scoring.word_diff(pairs, ["id"], "ref", "hyp").collect()
-    assert [tuple(r) for r in got] == [(1, 0, "replace", "b", "x"), (1, 1, "insert", "-", "d")]
+    assert sorted(map(tuple, got)) == [(1, 0, 1, 1, ["b"], ["x"]), (1, 1, 3, 3, [], ["d"]), (3, 0, 0, 0, ["x", "y"], []), (4, 0, 1, 1, [], ["z"])]
+    assert scoring.word_diff(pairs.limit(0), ["id"], "ref", "hyp").collect() == []
+
+
+def test_running_total(spark):
+    data = [("ab"[i % 3 == 0], f"{i:03d}", i) for i in range(200)] + [(None, "x", 5), (None, "y", 6)]
+    rows = sampling.running_total(spark.createDataFrame(data, "g string, k string, n long"), "g", "k", "n", "sum_before").collect()
+    assert len(rows) == len(data) and all(r["sum_before"] == sum(n for g, k, n in data if g == r["g"] and k < r["k"]) for r in rows)
+
+
+def test_more_tokens_than_one_plane_holds(spark):
+    words = [f"w{i}" for i in range(40_000)]
+    pairs = spark.createDataFrame([(" ".join(words[:39_990]), " ".join(words[10:]))], "a string, b string")
+    from nyuzi.functions import text as X
+
+    assert pairs.limit(0).select(X.token_edits(X.words(F.col("a")), X.words(F.col("b")))).count() == 0
+    short = spark.createDataFrame([(0xD7FF - 0x4E00,), (0xD800 - 0x4E00,), (90_000,)], "p long")
+    symbols = short.select(X._symbols(F.array(F.col("p")), F.sequence(F.lit(1).cast("long"), F.col("p"))).alias("s")).collect()
+    assert [len(r["s"]) for r in symbols] == [1, 1, 1] and len({r["s"] for r in symbols}) == 3
 
 
 def test_temperature_weights(spark):

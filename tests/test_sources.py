@@ -140,3 +140,33 @@ def test_states_card_and_report(spark, tmp_path):
     sinks.card(str(tmp_path / "card.yaml"), "n", "f", "/data", "t")
     assert (tmp_path / "card.yaml").read_text().startswith("name: n\n")
     assert sinks.report(spark.createDataFrame([("a", 1.23456), ("b", None)], "k string, v double")) == ["k\tv", "a\t1.2346", "b\t-"]
+
+
+def test_watching_goes_on_after_a_failure(spark, tmp_path):
+    source, target = tmp_path / "s", tmp_path / "t"
+    (source / "step_5").mkdir(parents=True)
+    (source / "step_5" / "a.bin").write_bytes(b"x" * 10)
+    marker, said = tmp_path / "failed", []
+
+    def once(a, b):
+        if not marker.exists():
+            marker.write_text("")
+            raise OSError("no room")
+        return ingest.copy_file(a, b)
+
+    assert ingest.keep_watching(spark, str(source), str(target), str(tmp_path / "log"), pause=0.0, cycles=2, upload=once, say=said.append) == 1
+    assert (target / "step_5" / "a.bin").read_bytes() == b"x" * 10 and len(said) == 1
+
+
+def test_state_of_keys_is_given_up(spark, tmp_path):
+    source, sink, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:02:00")], "id long, ts string").select("id", F.to_timestamp("ts").alias("ts"))
+    df.write.parquet(source)
+    ingest.ingest_new(spark, source, df.schema, sink, log, "id", time="ts")
+    assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == [1, 2]
+
+
+def test_row_counts_read_footers_only(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "r"))
+    n = readers.row_counts(spark, str(tmp_path / "r"))
+    assert [r["n_rows"] for r in n.collect()] == [10] and "ReadSchema: struct<>" in n._jdf.queryExecution().executedPlan().toString()
