@@ -14,7 +14,7 @@ any other as one JSON text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,21 +214,60 @@ def profile_counts(counts: DataFrame, expressions: dict[str, list[str]]) -> Data
     )
 
 
-def profile(df: DataFrame, load: str, columns: list[str] | None = None, group: str | None = None) -> DataFrame:
+def _compared(rows: DataFrame, keys: list[str], share: str, out: str) -> DataFrame:
+    """``out``: a share less that of the load before of the same group, in the order of the loads' first times; null for the first."""
+    before = Window.partitionBy("grp", *keys).orderBy(F.col("first_at").asc_nulls_first(), F.col("load_id").asc_nulls_first())  # a row a load
+    return rows.withColumn(out, F.col(share) - F.lag(share).over(before))
+
+
+def load_order(df: DataFrame, load: str, order: str | None) -> DataFrame:
+    """``load_id, first_at``: when each load first arrived; without an ``order`` column loads follow each other by name."""
+    at = F.min(F.col(f"`{order}`")).cast("string") if order else F.lit(None).cast("string")
+    return df.groupBy(F.col(f"`{load}`").cast("string").alias("load_id")).agg(at.alias("first_at"))
+
+
+def profile(df: DataFrame, load: str, columns: list[str] | None = None, group: str | None = None, order: str | None = None) -> DataFrame:
     """The profile of every column in every load, by load and column, with each load's departure from the loads of its group.
 
     ``length_ratio`` is a load's mean value length over the median of its group's loads; ``conforming_change`` its conforming share less
-    the median of its group's.
+    the median of its group's, ``conforming_step`` less that of the load before it in the order of the column ``order``.
     """
     columns = columns or [c for c in df.columns if c != load]
     counts = cut(value_counts(df, load, columns, group))
     expressions = main_expressions(counts.where(~F.col("missing")), mixed=True)
-    rows = cut(profile_counts(counts, expressions))
     share = F.when(F.col("n_values") > 0, 1 - F.col("n_nonconforming") / F.col("n_values"))
-    medians = rows.withColumn("ok", share).groupBy("grp", "column_name").agg(F.median("mean_length").alias("mid_length"), F.median("ok").alias("mid_ok"))
+    rows = cut(profile_counts(counts, expressions).withColumn("ok", share))
+    medians = rows.groupBy("grp", "column_name").agg(F.median("mean_length").alias("mid_length"), F.median("ok").alias("mid_ok"))
     named = F.create_map(*[x for c in profiled_names(df, columns) for x in (F.lit(c), F.lit("|".join(expressions[c])) if c in expressions else F.lit(None).cast("string"))])
-    out = rows.alias("r").join(medians.alias("m"), F.col("r.grp").eqNullSafe(F.col("m.grp")) & (F.col("r.column_name") == F.col("m.column_name")), "left")
-    return out.select("r.*", named[F.col("r.column_name")].alias("expression"), (F.col("mean_length") / F.col("mid_length")).alias("length_ratio"), (share - F.col("mid_ok")).alias("conforming_change")).orderBy("load_id", "column_name")
+    when = load_order(df, load, order)
+    stepped = _compared(rows.alias("l").join(when.alias("w"), F.col("l.load_id").eqNullSafe(F.col("w.load_id")), "left").select("l.*", "first_at"), ["column_name"], "ok", "conforming_step")
+    out = stepped.alias("r").join(medians.alias("m"), F.col("r.grp").eqNullSafe(F.col("m.grp")) & (F.col("r.column_name") == F.col("m.column_name")), "left")
+    return out.select("r.*", named[F.col("r.column_name")].alias("expression"), (F.col("mean_length") / F.col("mid_length")).alias("length_ratio"), (F.col("ok") - F.col("mid_ok")).alias("conforming_change")).drop("ok", "first_at").orderBy("load_id", "column_name")
+
+
+def coverage(df: DataFrame, load: str, columns: list[str] | None = None, group: str | None = None, order: str | None = None) -> DataFrame:
+    """``load_id, grp, column_name, expression, n_rows, share, step``: rows with a value that each expression of a column covers in each load.
+
+    A value counts for the first expression of its column that covers it, a null ``expression`` for none. ``step`` is the share less that in the load before
+    of the same group, so a form that comes or goes shows in the load where it does; an expression that covers nothing in a load has a row of 0.
+    """
+    columns = columns or [c for c in df.columns if c != load]
+    counts = cut(value_counts(df, load, columns, group))
+    expressions = main_expressions(counts.where(~F.col("missing")), mixed=True)
+    of = F.lit(None).cast("string")
+    for column, regexes in expressions.items():
+        for r in reversed(regexes):
+            of = F.when((F.col("column_name") == column) & F.coalesce("form", "value").rlike(f"^(?:{r})$"), F.lit(r)).otherwise(of)
+    met = counts.where(~F.col("missing")).groupBy("load_id", "grp", "column_name", of.alias("expression")).agg(F.sum("n").alias("n_rows"))
+    # at most 1 / MAIN_SHARE expressions a column and one for the rest
+    known = df.sparkSession.createDataFrame([(c, r) for c in profiled_names(df, columns) for r in [*expressions.get(c, []), None]], "column_name string, expression string")
+    loads = cut(met.groupBy("load_id", "grp", "column_name").agg(F.sum("n_rows").alias("all")))
+    grid = loads.join(F.broadcast(known), "column_name").alias("a")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("load_id", "grp", "column_name", "expression")]
+    rows = grid.join(met.alias("b"), same, "left").select("a.load_id", "a.grp", "a.column_name", "a.expression", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), (F.coalesce("n_rows", F.lit(0)) / F.col("all")).alias("share"))
+    when = load_order(df, load, order)
+    rows = rows.alias("l").join(when.alias("w"), F.col("l.load_id").eqNullSafe(F.col("w.load_id")), "left").select("l.*", "first_at")
+    return _compared(rows, ["column_name", "expression"], "share", "step").drop("first_at")
 
 
 def load_issues(profiled: DataFrame, identifier: str, text: str, share: float = 0.25, least_values: int = 20, factor: float = 2.0) -> DataFrame:

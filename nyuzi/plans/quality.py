@@ -17,7 +17,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column of raw_clips in every load."""
-    return profile.profile(table(spark, sf_dir, "raw_clips"), "load_id", None, "source").withColumnRenamed("grp", "source")
+    return profile.profile(table(spark, sf_dir, "raw_clips"), "load_id", None, "source", "loaded_at").withColumnRenamed("grp", "source")
+
+
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each induced expression of every column of raw_clips covers in each load, and how that moved since the load before."""
+    return profile.coverage(table(spark, sf_dir, "raw_clips"), "load_id", None, "source", "loaded_at").withColumnRenamed("grp", "source")
+
+
+def p6_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard aggregates of every column of raw_clips in every load."""
+    raw = table(spark, sf_dir, "raw_clips")
+    counts = profile.value_counts(raw, "load_id", [c for c in raw.columns if c != "load_id"], "source")
+    rows = profile.profile_counts(counts, {})
+    return rows.select("load_id", "column_name", "n_rows", "n_null", "n_missing", "n_values", "n_distinct", "top_n", F.round("mean_length", 6).alias("mean_length"))
 
 
 def p6_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,5 +62,18 @@ UNION ALL SELECT l.load_id, l.column_name, 'repeated' FROM l JOIN t USING (load_
 UNION ALL SELECT load_id, l.column_name, 'shifted' FROM l JOIN s USING (source, column_name) WHERE l.column_name = 'transcription' AND kept >= 20 AND (len < mid / 2 OR len > 2 * mid)
 """
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_profile, p6_expressions)}
-ORACLES = {"p6_found": P6_FOUND}
+_TEXTS = ("row_id", "clip_id", "source", "src_file", "loaded_at", "recorded_at", "audio.path", "transcription", "speaker_id", "split", "domain")
+_GONE = f"""v IS NULL OR NOT regexp_matches(v, '[\\p{{L}}\\p{{N}}]') OR lower(regexp_replace(v, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')) IN ({_STAND_INS})"""
+P6_AGGREGATES = f"""
+WITH u AS (
+  {" UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, {c}::VARCHAR AS v, {c}::VARCHAR AS d, length({c}::VARCHAR) AS len FROM raw_clips" for c in _TEXTS)}
+  UNION ALL SELECT load_id, 'audio.bytes', hex(audio.bytes[1:4]), md5(audio.bytes), octet_length(audio.bytes) FROM raw_clips),
+c AS (SELECT load_id, column_name, v, d, len, {_GONE} AS gone, count(*) AS n FROM u GROUP BY ALL)
+SELECT load_id, column_name, sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (WHERE v IS NULL), 0)::BIGINT AS n_null, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_missing,
+  coalesce(sum(n) FILTER (WHERE NOT gone), 0)::BIGINT AS n_values, count(*) FILTER (WHERE NOT gone) AS n_distinct, coalesce(max(n) FILTER (WHERE NOT gone), 0)::BIGINT AS top_n,
+  round((sum(n * len) FILTER (WHERE NOT gone)) / (sum(n) FILTER (WHERE NOT gone)), 6) AS mean_length
+FROM c GROUP BY load_id, column_name
+"""
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_profile, p6_expressions, p6_coverage, p6_aggregates)}
+ORACLES = {"p6_found": P6_FOUND, "p6_aggregates": P6_AGGREGATES}

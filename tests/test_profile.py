@@ -126,3 +126,19 @@ def test_ids_that_are_long_have_an_exact_expression(spark):
     df = spark.createDataFrame([("l", "x" * 50 + f"-{i:030d}" + "y" * 300) for i in range(200)] + [("m", "x" * 50 + f"-{i:030d}" + "y" * 299 + "7") for i in range(3)], "load_id string, v string")
     got = {r["load_id"]: r for r in P.profile(df, "load_id").collect()}
     assert got["l"]["expression"] == "[a-z]{50}-[0-9]{30}[a-z]{300}" and (got["l"]["n_nonconforming"], got["m"]["n_nonconforming"]) == (0, 3)
+
+
+def test_forms_that_come_and_go_show_where_they_do(spark):
+    rows = [(f"l{k}", "s", f"{k}-{i}", f"KIK-{i:06d}" if k < 2 or i % 2 else f"kik{i:03d}") for k in range(4) for i in range(40)] + [("l9", "s", None, None)]
+    df = loads(spark, rows)
+    got = {(r["load_id"], r["expression"]): (r["n_rows"], r["share"], r["step"]) for r in P.coverage(df, "load_id", ["speaker_id"], "source").collect()}
+    old, new = "[A-Z]{3}-[0-9]{6}", "[a-z]{3}[0-9]{3}"
+    assert got[("l1", old)] == (40, 1.0, 0.0) and got[("l2", old)] == (20, 0.5, -0.5) and got[("l2", new)] == (20, 0.5, 0.5) and got[("l3", new)][2] == 0.0
+    assert got[("l0", new)] == (0, 0.0, None) and ("l9", old) not in got
+    prof = {r["load_id"]: r["conforming_step"] for r in P.profile(df, "load_id", ["speaker_id"], "source").collect()}
+    assert prof == {"l0": None, "l1": 0.0, "l2": 0.0, "l3": 0.0, "l9": None}
+
+
+def test_stand_ins_of_any_length_are_missing(spark):
+    df = loads(spark, [("a", "s", "-" * n, "x") for n in (1, 200, 300, 5000)])
+    assert P.profile(df, "load_id", ["transcription"]).first()["n_missing"] == 4
