@@ -5,7 +5,8 @@ a limit fails, one piece more. When no count works although a chain of pauses ex
 gives the cuts; only without such a chain are cuts forced, at the quietest moment near the target.
 
 Sizes come from the bytes, whatever a size column says. Everything about a row is settled from its own bytes inside one
-Arrow pass without a shuffle, so rows of any skew cost what their bytes cost. Each clip is held once, as float samples.
+Arrow pass without a shuffle, so rows of any skew cost what their bytes cost. A batch holds at most 64 MB of clips or one clip, by the session's bound
+of bytes a batch, and one clip at a time is held as samples, in four bytes each up to 16 bits.
 
 Defined results: null, empty and unreadable bytes have no pieces; a clip at or under the limit comes out as one piece; of
 pauses equally strong the one nearest the target wins, then the earlier; a clip with no sound at all is one pause; repeated
@@ -37,10 +38,13 @@ class Limits(NamedTuple):
 
 def pauses(x: np.ndarray, rules: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the pauses, and the loudness of each sample above the resting level (the median)."""
-    loud = np.abs(x - np.median(x)) if len(x) else x
-    peak = loud.max() if len(loud) else 0.0
-    quiet = loud < rules.quiet * peak if peak else np.ones(len(x), bool)
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], quiet.view(np.int8), [0]))))
+    loud = x - x.dtype.type(np.median(x)) if len(x) else x
+    np.abs(loud, out=loud)
+    peak = float(loud.max()) if len(loud) else 0.0
+    # a float64 bound, whatever the samples are kept in, so that the comparison is not rounded
+    quiet = loud < np.float64(rules.quiet * peak) if peak else np.ones(len(x), bool)
+    edge = np.flatnonzero(quiet[1:] != quiet[:-1]) + 1
+    edge = np.concatenate(([0] if len(x) and quiet[0] else [], edge, [len(x)] if len(x) and quiet[-1] else [])).astype(np.int64)
     start, stop = edge[::2], edge[1::2]
     long = stop - start >= rules.pause
     return start[long], stop[long], loud

@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from helpers import wav as make
 
 from nyuzi.functions import wav
@@ -93,3 +94,26 @@ def test_pieces_join_to_the_whole(spark):
             assert not whole or whole[-SMALL.overlap :] == s[: SMALL.overlap]
             whole = whole[: p["start"]] + s
         assert whole == clips[row_id % 8].tolist()
+
+
+def test_unreadable_widths_and_a_very_long_clip(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal(3_000_000) * 3000).astype(np.int16)
+    x[::40_000] = 0
+    for at in range(15_000, len(x), 15_000):
+        x[at : at + 200] = 0
+    long = wav.write(500, 1, 16, x.tobytes())
+    odd = wav.write(500, 1, 16, b"\0" * 80_000, 3)
+    df = spark.createDataFrame([(1, long), (2, odd), (3, b"junk"), (4, None)], "row_id long, audio_bytes binary")
+    got = {r["row_id"]: r for r in C.cut_plan(df, ["row_id"]).collect()}
+    assert set(got) == {1} and got[1]["cut_kind"] == "pause" and got[1]["n_samples"] == len(x)
+    ends = [0, *got[1]["cuts"], len(x)]
+    assert all(b - a <= 17_500 - (500 if a else 0) for a, b in zip(ends[:-1], ends[1:]))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pauses_do_not_depend_on_the_width_of_samples(seed):
+    x = np.random.default_rng(seed).integers(-30, 31, 4000)
+    x[500:900] //= 15
+    a, b = C.pauses(x.astype(np.float32), C.Limits(pause=5)), C.pauses(x.astype(np.float64), C.Limits(pause=5))
+    assert all((p == q).all() for p, q in zip(a, b))

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from nyuzi.llm import components, prefix
+from nyuzi.operators import sampling
 
 
 def test_running_sums_and_numbers(spark):
