@@ -53,8 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, for a table that is written and read again."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, for a table that is written and read again; the file system deletes it when the application ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark).rstrip('/')}/scratch-{sc.applicationId}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:
