@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,7 +72,7 @@ class Commonness:
         if lang not in self.logs:
             return 0.0
         logs, least = self.logs[lang], self.least[lang]
-        return -sum(logs.get(w.lower(), least) for w in words) / len(words)
+        return -sum(n * logs.get(w, least) for w, n in Counter(map(str.lower, words)).items()) / len(words)
 
 
 def measure(text: str | None, lang: str | None = None, common: Commonness | None = None) -> tuple[int, float, float, float | None]:
@@ -157,13 +158,14 @@ def measures(docs: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums: dict[tuple[str | None, str], int] = {}
+            sums: dict[str | None, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 lang = guess.value(text) if lang is None and text else lang
-                for w in words_of(text)[1]:
-                    key = (lang, w.lower())
-                    sums[key] = sums.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], names=["lang", "word", "n"])
+                sums.setdefault(lang, Counter()).update(map(str.lower, words_of(text)[1]))
+            langs = [lang for lang, c in sums.items() for _ in range(len(c))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array([w for c in sums.values() for w in c], pa.string()), pa.array([n for c in sums.values() for n in c.values()], pa.int64())], names=["lang", "word", "n"]
+            )
 
     counts = docs.select("lang", "text").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     common = spark.sparkContext.broadcast(common_words(cut(counts)))
