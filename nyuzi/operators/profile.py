@@ -220,10 +220,12 @@ def _compared(rows: DataFrame, keys: list[str], share: str, out: str) -> DataFra
     return rows.withColumn(out, F.col(share) - F.lag(share).over(before))
 
 
-def load_order(df: DataFrame, load: str, order: str | None) -> DataFrame:
-    """``load_id, first_at``: when each load first arrived; without an ``order`` column loads follow each other by name."""
-    at = F.min(F.col(f"`{order}`")).cast("string") if order else F.lit(None).cast("string")
-    return df.groupBy(F.col(f"`{load}`").cast("string").alias("load_id")).agg(at.alias("first_at"))
+def _with_order(rows: DataFrame, df: DataFrame, load: str, order: str | None) -> DataFrame:
+    """``first_at``: when each load first arrived; without an ``order`` column loads follow each other by name."""
+    if order is None:
+        return rows.withColumn("first_at", F.lit(None).cast("string"))
+    when = df.groupBy(F.col(f"`{load}`").cast("string").alias("load_id")).agg(F.min(F.col(f"`{order}`")).cast("string").alias("first_at"))
+    return rows.alias("l").join(when.alias("w"), F.col("l.load_id").eqNullSafe(F.col("w.load_id")), "left").select("l.*", "first_at")
 
 
 def profile(df: DataFrame, load: str, columns: list[str] | None = None, group: str | None = None, order: str | None = None) -> DataFrame:
@@ -239,8 +241,7 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, group: s
     rows = cut(profile_counts(counts, expressions).withColumn("ok", share))
     medians = rows.groupBy("grp", "column_name").agg(F.median("mean_length").alias("mid_length"), F.median("ok").alias("mid_ok"))
     named = F.create_map(*[x for c in profiled_names(df, columns) for x in (F.lit(c), F.lit("|".join(expressions[c])) if c in expressions else F.lit(None).cast("string"))])
-    when = load_order(df, load, order)
-    stepped = _compared(rows.alias("l").join(when.alias("w"), F.col("l.load_id").eqNullSafe(F.col("w.load_id")), "left").select("l.*", "first_at"), ["column_name"], "ok", "conforming_step")
+    stepped = _compared(_with_order(rows, df, load, order), ["column_name"], "ok", "conforming_step")
     out = stepped.alias("r").join(medians.alias("m"), F.col("r.grp").eqNullSafe(F.col("m.grp")) & (F.col("r.column_name") == F.col("m.column_name")), "left")
     return out.select("r.*", named[F.col("r.column_name")].alias("expression"), (F.col("mean_length") / F.col("mid_length")).alias("length_ratio"), (F.col("ok") - F.col("mid_ok")).alias("conforming_change")).drop("ok", "first_at").orderBy("load_id", "column_name")
 
@@ -265,9 +266,7 @@ def coverage(df: DataFrame, load: str, columns: list[str] | None = None, group:
     grid = loads.join(F.broadcast(known), "column_name").alias("a")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("load_id", "grp", "column_name", "expression")]
     rows = grid.join(met.alias("b"), same, "left").select("a.load_id", "a.grp", "a.column_name", "a.expression", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), (F.coalesce("n_rows", F.lit(0)) / F.col("all")).alias("share"))
-    when = load_order(df, load, order)
-    rows = rows.alias("l").join(when.alias("w"), F.col("l.load_id").eqNullSafe(F.col("w.load_id")), "left").select("l.*", "first_at")
-    return _compared(rows, ["column_name", "expression"], "share", "step").drop("first_at")
+    return _compared(_with_order(rows, df, load, order), ["column_name", "expression"], "share", "step").drop("first_at")
 
 
 def load_issues(profiled: DataFrame, identifier: str, text: str, share: float = 0.25, least_values: int = 20, factor: float = 2.0) -> DataFrame:
