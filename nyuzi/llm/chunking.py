@@ -5,8 +5,8 @@ a limit fails, one piece more. When no count works although a chain of pauses ex
 gives the cuts; only without such a chain are cuts forced, at the quietest moment near the target.
 
 Sizes come from the bytes, whatever a size column says. Everything about a row is settled from its own bytes inside one
-Arrow pass without a shuffle, so rows of any skew cost what their bytes cost. A batch holds at most 64 MB of clips or one clip, by the session's bound
-of bytes a batch, and one clip at a time is held as samples, in four bytes each up to 16 bits.
+Arrow pass without a shuffle, so rows of any skew cost what their bytes cost. A batch holds clips up to the session's bound
+of bytes a batch (64 MB, in ``p1_found`` 8 MB) or one clip, and one clip at a time is held as samples, in four bytes each up to 16 bits.
 
 Defined results: null, empty and unreadable bytes have no pieces; a clip at or under the limit comes out as one piece; of
 pauses equally strong the one nearest the target wins, then the earlier; a clip with no sound at all is one pause; repeated
@@ -193,5 +193,6 @@ def split_audio(df: DataFrame, keys: list[str], audio: str = "audio_bytes", rule
 
 
 def oversized(df: DataFrame, keys: list[str], audio: str = "audio_bytes", rules: Limits = Limits()) -> DataFrame:
-    """``keys, cut_kind`` of the clips over the limit."""
-    return cut_plan(df, keys, audio, rules).where(F.col("n_samples") > rules.limit).select(*keys, "cut_kind")
+    """``keys, cut_kind`` of the clips over the limit. A sample takes a byte at least, so payloads of fewer bytes, base64 too, are told without Python."""
+    long = df.where(F.octet_length(audio) > rules.limit)
+    return cut_plan(long, keys, audio, rules).where(F.col("n_samples") > rules.limit).select(*keys, "cut_kind")

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nyuzi.llm import chunking, groups, leakage, mixture, mojibake, overlap, reading, unify
-from nyuzi.session import cut, scratch_path, table
+from nyuzi.session import AUDIO_BATCHES, computed, cut, scratch_path, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings over 17,500 samples, and whether all needed cuts can lie in pauses."""
-    return chunking.oversized(table(spark, sf_dir, "omni_corpus"), ["row_id"])
+    return computed(chunking.oversized(table(spark, sf_dir, "omni_corpus"), ["row_id"]), "long", AUDIO_BATCHES)
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

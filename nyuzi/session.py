@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: For functions that get recordings. Spark keeps a batch twice in buffers that double as they grow, outside the heap, and Python once or twice, for each task.
+AUDIO_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 #: Settings that suit large clusters; pass them to the session's builder, with partition counts of your own.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -63,6 +66,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
+def computed(df: DataFrame, label: str, settings: dict[str, str]) -> DataFrame:
+    """``df`` computed once under settings of its own, in a copy of its session, and read again from a scratch table; its session stays as it is."""
+    spark = df.sparkSession
+    own = spark._jsparkSession.cloneSession()
+    for key, value in settings.items():
+        own.conf().set(key, value)
+    at = scratch_path(spark, label)
+    spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, df._jdf.queryExecution().logical()).write().parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors' Python, unless they find it on their path already."""
     root = Path(__file__).resolve().parents[1]

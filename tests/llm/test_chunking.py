@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import wav as make
 
@@ -117,3 +118,40 @@ def test_pauses_do_not_depend_on_the_width_of_samples(seed):
     x[500:900] //= 15
     a, b = C.pauses(x.astype(np.float32), C.Limits(pause=5)), C.pauses(x.astype(np.float64), C.Limits(pause=5))
     assert all((p == q).all() for p, q in zip(a, b))
+
+
+def sent_to_python(df):
+    """Bytes that Python workers got for ``df``, after it has run."""
+    node = df._jdf.queryExecution().executedPlan()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().head()
+    return node.metrics().apply("pythonDataSent").value()
+
+
+def test_short_payloads_do_not_go_to_python(spark):
+    rng = np.random.default_rng(7)
+    short = [(i, make(rng.integers(-100, 100, 50)), 9999) for i in range(200)]
+    edge = [(1000, make(clip(100, []))), (1001, make(clip(101, []))), (1002, base64.encodebytes(make(clip(101, [])))), (1003, make(clip(101, []), 16)), (1004, None), (1005, b"x" * 500)]
+    df = spark.createDataFrame(short + [(k, raw, 0) for k, raw in edge], "row_id long, audio_bytes binary, audio_size long").coalesce(1)
+    got = C.oversized(df, ["row_id"], rules=SMALL)
+    assert sorted(r["row_id"] for r in got.collect()) == [1001, 1002, 1003]
+    assert sent_to_python(got) < 5_000 < sum(len(raw) for _, raw, _ in short)
+
+
+def test_batches_of_recordings_are_bounded(spark, tmp_path, monkeypatch):
+    from nyuzi.llm import queries
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([str(b.num_rows)])], names=["row_id", "cut_kind"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.range(40).selectExpr("id row_id", "unhex(repeat('52', 1000000)) audio_bytes").coalesce(1).write.parquet(f"{tmp_path}/omni_corpus.parquet")
+    monkeypatch.setattr(queries.chunking, "oversized", lambda df, keys: df.select(*keys, "audio_bytes").mapInArrow(sizes, "row_id long, cut_kind string"))
+    got = queries.p1_found(spark, str(tmp_path))
+    rows = got.collect()
+    assert sum(int(r["cut_kind"]) for r in rows) == 40 and max(r["row_id"] for r in rows) < 10_000_000
+    assert spark.conf.get(key) == before
+    got.createOrReplaceTempView("long_recordings")
+    assert spark.sql("select count(*) n from long_recordings").first()["n"] == len(rows)
