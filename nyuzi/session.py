@@ -67,13 +67,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def computed(df: DataFrame, label: str, settings: dict[str, str]) -> DataFrame:
-    """``df`` computed once under settings of its own, in a copy of its session, and read again from a scratch table; its session stays as it is."""
+    """``df`` computed once under settings of its own, in a copy of its session, and read again from a scratch table; its session stays as it is.
+
+    The table has as many files as its size asks for, not one a task: without Hadoop's native library each file costs some launches of ``chmod``.
+    """
     spark = df.sparkSession
     own = spark._jsparkSession.cloneSession()
     for key, value in settings.items():
         own.conf().set(key, value)
     at = scratch_path(spark, label)
-    spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, df._jdf.queryExecution().logical()).write().parquet(at)
+    spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, df.hint("rebalance")._jdf.queryExecution().logical()).write().parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -155,3 +155,18 @@ def test_batches_of_recordings_are_bounded(spark, tmp_path, monkeypatch):
     assert spark.conf.get(key) == before
     got.createOrReplaceTempView("long_recordings")
     assert spark.sql("select count(*) n from long_recordings").first()["n"] == len(rows)
+
+
+def test_a_small_result_is_not_spread_over_a_file_a_task(spark, tmp_path):
+    from nyuzi.llm import queries
+
+    raw = make(clip(17_600, [(9_000, 9_400)]))
+    spark.createDataFrame([(i, raw) for i in range(40)], "row_id long, audio_bytes binary").repartition(20).write.parquet(f"{tmp_path}/omni_corpus.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "256m")
+    try:
+        assert spark.read.parquet(f"{tmp_path}/omni_corpus.parquet").rdd.getNumPartitions() > 8
+        queries.p1_found(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list((tmp_path / "out").glob("*.parquet"))) == 1
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(i, "pause") for i in range(40)]
